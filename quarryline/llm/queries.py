@@ -1,9 +1,12 @@
 """Queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from quarryline.llm import quality_rules
+from quarryline.llm import quality_rules, secrets, simhash, token_store
 
 QUERIES = {
+    "op2_token_store": token_store.op2_token_store,
+    "op4_secret_scan": secrets.op4_secret_scan,
     "op7_host_rules": quality_rules.op7_host_rules,
+    "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLES = {
