@@ -1,17 +1,19 @@
 """Queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from quarryline.llm import bm25_pack, dropout_bpe, quality_rules, secrets, simhash, suffix_dedup, token_store
+from quarryline.llm import bm25_pack, dropout_bpe, lattice, quality_rules, secrets, simhash, suffix_dedup, token_store
 
 QUERIES = {
     "op1_merge_dropout": dropout_bpe.op1_merge_dropout,
     "op2_token_store": token_store.op2_token_store,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_bm25_pack": bm25_pack.op5_bm25_pack,
+    "op6_lattice": lattice.op6_lattice,
     "op7_host_rules": quality_rules.op7_host_rules,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLES = {
+    "op6_lattice": lattice.ORACLE,
     "op7_host_rules": quality_rules.ORACLE,
 }
