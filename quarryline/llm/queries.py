@@ -1,6 +1,6 @@
 """Queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from quarryline.llm import bm25_pack, dropout_bpe, lattice, quality_rules, secrets, simhash, suffix_dedup, token_store
+from quarryline.llm import bm25_pack, cotrain, dropout_bpe, lattice, quality_rules, secrets, simhash, suffix_dedup, token_store
 
 QUERIES = {
     "op1_merge_dropout": dropout_bpe.op1_merge_dropout,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_host_rules": quality_rules.op7_host_rules,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_simhash": simhash.op9_simhash,
+    "op10_cotrain": cotrain.op10_cotrain,
 }
 
 ORACLES = {
