@@ -1,10 +1,11 @@
 """Queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from quarryline.llm import bm25_pack, cotrain, dropout_bpe, lattice, quality_rules, secrets, simhash, suffix_dedup, token_store
+from quarryline.llm import bm25_pack, cotrain, dropout_bpe, html_gbt, lattice, quality_rules, secrets, simhash, suffix_dedup, token_store
 
 QUERIES = {
     "op1_merge_dropout": dropout_bpe.op1_merge_dropout,
     "op2_token_store": token_store.op2_token_store,
+    "op3_html_gbt": html_gbt.op3_html_gbt,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_bm25_pack": bm25_pack.op5_bm25_pack,
     "op6_lattice": lattice.op6_lattice,
