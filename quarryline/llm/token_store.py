@@ -46,7 +46,7 @@ class Grammar:
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, grammar: Grammar = Grammar()) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
     """(symbols, last-symbol flags, rules of each round as (first symbol, pairs)) of ``ids`` below ``base``."""
     x, last, rules, following = ids.astype(np.uint32), ends.copy(), [], base
-    for _ in range(grammar.rounds):
+    for turn in range(grammar.rounds):
         room = grammar.symbols - following
         if len(x) < 2 or room <= 0:
             break
@@ -61,25 +61,33 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, grammar: Grammar = Gr
         pairs, counts = ranked[first[often]], counts[often]
         if not len(pairs):
             break
-        order = np.lexsort((pairs, -counts))[:room]
-        by_key = np.sort(pairs[order])
-        rank = np.empty(len(order), np.int32)
-        rank[np.searchsorted(by_key, pairs[order])] = np.arange(len(order))
-        spot = np.minimum(np.searchsorted(by_key, keys), len(by_key) - 1)
-        r = np.where((by_key[spot] == keys) & free, rank[spot], np.int32(2**31 - 1))
-        none = np.array([2**31 - 1], np.int32)
-        take = (r != none[0]) & (r < np.concatenate([none, r[:-1]])) & (r <= np.concatenate([r[1:], none]))
-        at = np.flatnonzero(take)
+        # a slot belongs to its most frequent pair; another pair with that slot waits for the next round
+        pairs = pairs[np.lexsort((pairs, -counts))[: max(1, room // (grammar.rounds - turn))]]
+        slot = lambda k: (k * np.uint32(0x9E3779B1)) >> np.uint32(12)
+        owner = np.full(1 << 20, -1, np.int32)
+        owner[slot(pairs[::-1])] = np.arange(len(pairs), dtype=np.int32)[::-1]
+        pairs = pairs[owner[slot(pairs)] == np.arange(len(pairs))]
+        owner[slot(pairs)] = np.arange(len(pairs), dtype=np.int32)
+        rank = owner[slot(keys)]
+        some = np.flatnonzero((rank >= 0) & free)
+        r = rank[some]
+        hit = pairs[r] == keys[some]
+        some, r = some[hit], r[hit]
+        beside = some[1:] == some[:-1] + 1
+        worse = np.zeros(len(some), bool)
+        worse[1:] |= beside & (r[1:] >= r[:-1])
+        worse[:-1] |= beside & (r[:-1] > r[1:])
+        at, r = some[~worse], r[~worse]
         if not len(at):
             break
         keep = np.ones(len(x), bool)
         keep[at + 1] = False
         y = x.copy()
-        y[at] = following + r[at].astype(np.uint32)
+        y[at] = following + r.astype(np.uint32)
         flags = last.copy()
         flags[at] = last[at + 1]
-        rules.append((following, pairs[order]))
-        following += len(order)
+        rules.append((following, pairs))
+        following += len(pairs)
         x, last = y[keep], flags[keep]
     return x, last, rules
 

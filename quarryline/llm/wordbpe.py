@@ -25,7 +25,7 @@ class WordEncoder:
     ``limit`` bounds the words remembered; past it the older half is forgotten.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -35,54 +35,64 @@ class WordEncoder:
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
         first = steps[0] if steps else {}
         self.by_word = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and first.get("pattern", {}).get("Regex") == _SPLIT
+        # letters of Latin-1, then ASCII marks but those that begin a contraction or a special token
+        letters, marks = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])", rb"""[!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]"""
+        self.plain = re.compile(b"(" + letters + b"*)(" + marks + b"*)")
+        self.one = re.compile(letters + b"+|" + marks + b"+")
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        suffix = spec["model"].get("end_of_word_suffix") or "\0"
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        # letters of Latin-1, then ASCII marks that neither begin a contraction nor belong to a special token
-        self.plain = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!#$%&*+,\-./:;=?@\\^_`~()\[\]{}]*)")
-
-    def _known(self, word: bytes) -> bytes | None:
-        ids = self.young.get(word)
-        if ids is None and (ids := self.old.get(word)) is not None:
-            self.young[word] = ids
-        return ids
 
     def _learn(self, words: set[bytes]) -> None:
-        parts = {}
+        kept = words & self.old.keys()
+        self.young.update((w, self.old[w]) for w in kept)
+        words -= kept
+        match, young, pairs, asked = self.plain.fullmatch, self.young, [], set()
         for w in words:
-            m = self.plain.fullmatch(w)
-            parts[w] = [p for p in (m[1].decode().lower().encode(), m[2]) if p] if m else [w]
-        asked = [p for p in {p for ps in parts.values() for p in ps} if self._known(p) is None]
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in asked], add_special_tokens=False)
-        fresh = {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(asked, found, strict=True)}
-        get = lambda p: fresh[p] if p in fresh else self._known(p)
-        fresh |= {w: b"".join([get(p) for p in ps]) for w, ps in parts.items()}
-        if len(self.young) + len(fresh) > self.limit:
-            self.old, self.young = self.young, {}
-        self.young.update(fresh)
+            if m := match(w):
+                core, marks = m[1].decode().lower().encode(), m[2]
+                pairs.append((w, core, marks))
+                asked.add(core)
+                asked.add(marks)
+            else:
+                asked.add(w)
+        asked -= young.keys()
+        single = [p for p in asked if self.one.fullmatch(p)]
+        fresh = self._by_ends(single)
+        rest = [p for p in asked if p not in fresh]
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)
+        young.update(fresh)
+        young.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(rest, found, strict=True))
+        young.update([(w, young[core] + young[marks]) for w, core, marks in pairs])
+
+    def _by_ends(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of parts that are one word to the file's rules each, encoded as one text: a word ends with an id marked as its end."""
+        out = {}
+        for k in range(0, len(parts), 2000):
+            some = parts[k : k + 2000]
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                flat, cuts = ids.tobytes(), (ends * 4).tolist()
+                out |= {p: flat[a:b] for p, a, b in zip(some, [0, *cuts], cuts, strict=False)}
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
         if not self.by_word:
             found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
             return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-        out = []
-        for text in texts:
-            words = text.split()
-            young = self.young
-            try:
-                out.append(b"".join([young[w] for w in words]))
-            except KeyError:
-                missing = {w for w in words if self._known(w) is None}
-                if missing:
-                    self._learn(missing)
-                out.append(b"".join([self.young[w] if w in self.young else self._again(w) for w in words]))
-        return out
-
-    def _again(self, word: bytes) -> bytes:
-        if (ids := self._known(word)) is None:
-            self._learn({word})
-            ids = self.young[word]
-        return ids
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        words = [t.split() for t in texts]
+        missing = set().union(*words) - self.young.keys()
+        if missing:
+            self._learn(missing)
+        get = self.young.__getitem__
+        return [b"".join(map(get, ws)) for ws in words]
 
 
 def encoder(path: str) -> WordEncoder:
