@@ -1,14 +1,67 @@
-"""The corpus pipeline: stages over documents, each written and read again by its caller."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again before the next.
+
+Rejected documents go first, then all but one of each group of near-duplicates; what is left loses the
+passages that repeat and its secrets are masked; the rest is packed into token windows. Every stage but
+the last returns the columns of documents, whatever further columns it is given.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarryline.llm import bm25_pack, cotrain, secrets, simhash, suffix_dedup
+from quarryline.llm.runtime import stage_table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _documents(df: DataFrame) -> DataFrame:
+    """The columns of documents; n_chars is that of the text as it is now."""
+    return df.select("doc_id", "text", "lang", "source", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier accepts."""
+    docs = docs.select(*COLUMNS)
+    model = cotrain.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _documents(cotrain.scored(docs, model).where("kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group, that with the smallest doc_id."""
+    return _documents(simhash.one_of_each(docs.select(*COLUMNS)))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes that lie in a string of 200 bytes found elsewhere; a document may end up empty."""
+    return _documents(suffix_dedup.dedup(docs.select(*COLUMNS), carry=("lang", "source")))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with every found secret masked."""
+    return _documents(secrets.redact(docs.select(*COLUMNS)))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token windows, with their ids."""
+    return bm25_pack.pack(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("secret_scan", secret_scan),
+    ("packing", packing),
+]
 
+#: SQL can't express the classifier, the hashing, the byte spans or the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -373,14 +373,15 @@ def repeated_spans(rows: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
     return out
 
 
-def dedup(docs: DataFrame, rule: Repeats = Repeats(), keep_text: bool = True) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): row, doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the remaining text.
+def dedup(docs: DataFrame, rule: Repeats = Repeats(), keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): row, doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the remaining text; then the columns in ``carry``.
 
     In ``text`` a character of which bytes were removed is left out altogether.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)])
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     spans = repeated_spans(rows.select("row", "text"), rule).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    joined = rows.join(spans, "row", "left").select("row", "text", "doc_id", "spans")
+    joined = rows.join(spans, "row", "left").select("row", "text", "doc_id", "spans", *[f"_carry{i}" for i in range(len(carry))])
 
     def run(batches):
         for batch in batches:
@@ -396,9 +397,9 @@ def dedup(docs: DataFrame, rule: Repeats = Repeats(), keep_text: bool = True) ->
                 kept = b"".join([*kept, text[at:]])
                 out.append((row, doc, len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept.decode("utf8", "ignore") if keep_text else None))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)] + batch.columns[4:], ["row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *carry])
 
-    return joined.mapInArrow(run, "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    return joined.mapInArrow(run, "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string" + kinds)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
