@@ -92,22 +92,23 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, grammar: Grammar = Gr
     return x, last, rules
 
 
-def expand(symbols: np.ndarray, rules: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """The ids of ``symbols``: the rounds undone, the last first."""
-    x = symbols.astype(np.uint32)
-    for first, pairs in reversed(rules):
-        wide = (x >= first) & (x < first + len(pairs))
-        if not wide.any():
-            continue
-        size = 1 + wide.astype(np.int64)
-        begin = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.uint32)
-        out[begin] = x
-        pair = pairs[x[wide] - first]
-        out[begin[wide]] = pair >> np.uint32(16)
-        out[begin[wide] + 1] = pair & np.uint32(0xFFFF)
-        x = out
-    return x
+def expansions(base: int, rules: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(where each symbol's expansion begins, all expansions): a table by which symbols become ids in one step."""
+    sizes = np.concatenate([np.ones(base, np.int64), expansion_lengths(base, rules).astype(np.int64)])
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    table = np.empty(int(begin[-1]), np.uint32)
+    table[:base] = np.arange(base)
+    for first, pairs in rules:
+        left, right = pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)
+        both = np.stack([left, right], axis=1).ravel()
+        table[begin[first] : begin[first + len(pairs)]] = _spread(both, begin, table)
+    return begin, table
+
+
+def _spread(symbols: np.ndarray, begin: np.ndarray, table: np.ndarray) -> np.ndarray:
+    sizes = begin[symbols.astype(np.int64) + 1] - begin[symbols]
+    ends = np.cumsum(sizes)
+    return table[np.repeat(begin[symbols] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 def expansion_lengths(base: int, rules: list[tuple[int, np.ndarray]]) -> np.ndarray:
@@ -153,10 +154,11 @@ class Shard:
         self.doc_ids = [int(d) if k else None for d, k in zip(numbers, known, strict=True)]
         self.rules = [(f, take("<u4", c)) for f, c in heads]
         self.lengths = take("<u4", sum(c for _, c in heads))
+        self.begin, self.table = expansions(self.base, self.rules)
         self.first, self.starts, self.symbols = take("<u8", n + 1), take("<u8", n + 1), take("<u2", m)
 
     def document(self, i: int) -> np.ndarray:
-        return expand(self.symbols[self.first[i] : self.first[i + 1]], self.rules)
+        return _spread(self.symbols[self.first[i] : self.first[i + 1]], self.begin, self.table)
 
     def ids(self, begin: int, end: int) -> np.ndarray:
         """Ids ``begin`` to ``end`` of the shard: only the symbols that cover them are expanded."""
@@ -168,10 +170,10 @@ class Shard:
         size[wide] = self.lengths[symbols[wide] - self.base]
         at = np.concatenate([[0], np.cumsum(size)]) + int(self.starts[max(d, 0)])
         a, b = int(np.searchsorted(at, begin, "right")) - 1, int(np.searchsorted(at, end, "left"))
-        return expand(symbols[max(a, 0) : b], self.rules)[begin - int(at[max(a, 0)]) : end - int(at[max(a, 0)])]
+        return _spread(symbols[max(a, 0) : b], self.begin, self.table)[begin - int(at[max(a, 0)]) : end - int(at[max(a, 0)])]
 
     def all(self) -> np.ndarray:
-        return expand(self.symbols, self.rules)
+        return _spread(self.symbols, self.begin, self.table)
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, grammar: Grammar = Grammar()) -> None:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import json
+import operator
 import os
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _ENCODERS: dict[str, WordEncoder] = {}
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -34,50 +37,45 @@ class WordEncoder:
             spec = json.load(f)
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
         first = steps[0] if steps else {}
-        self.by_word = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and first.get("pattern", {}).get("Regex") == _SPLIT
+        self.by_word = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and first.get("pattern", {}).get("Regex") == _SPLIT and bool(spec["model"].get("end_of_word_suffix"))
         # letters of Latin-1, then ASCII marks but those that begin a contraction or a special token
         letters, marks = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])", rb"""[!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]"""
-        self.plain = re.compile(b"(" + letters + b"*)(" + marks + b"*)")
-        self.one = re.compile(letters + b"+|" + marks + b"+")
+        # of each line: letters and marks, or what is neither
+        self.line = re.compile(b"(?m)^(?:(" + letters + b"*)(" + marks + b"*)|(.*))$")
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         suffix = spec["model"].get("end_of_word_suffix") or "\0"
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.young: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
 
-    def _learn(self, words: set[bytes]) -> None:
-        kept = words & self.old.keys()
-        self.young.update((w, self.old[w]) for w in kept)
-        words -= kept
-        match, young, pairs, asked = self.plain.fullmatch, self.young, [], set()
-        for w in words:
-            if m := match(w):
-                core, marks = m[1].decode().lower().encode(), m[2]
-                pairs.append((w, core, marks))
-                asked.add(core)
-                asked.add(marks)
-            else:
-                asked.add(w)
-        asked -= young.keys()
-        single = [p for p in asked if self.one.fullmatch(p)]
-        fresh = self._by_ends(single)
-        rest = [p for p in asked if p not in fresh]
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)
-        young.update(fresh)
-        young.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(rest, found, strict=True))
-        young.update([(w, young[core] + young[marks]) for w, core, marks in pairs])
+    def _learn(self, missing: set[bytes]) -> None:
+        young = self.young
+        if kept := missing & self.old.keys():
+            young.update(zip(kept, map(self.old.__getitem__, kept), strict=True))
+            missing -= kept
+        words = list(missing)
+        if not words:
+            return
+        lines = self.line.findall(b"\n".join(words).decode().lower().encode())
+        cores, marks, others = zip(*lines, strict=True)
+        young.update(self._by_ends(list((set(cores) | set(marks)) - young.keys())))
+        young.update(zip(words, map(operator.add, map(young.__getitem__, cores), map(young.__getitem__, marks)), strict=True))
+        rest = [w for w, o in zip(words, others, strict=True) if o]
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+        young.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(rest, found, strict=True))
 
     def _by_ends(self, parts: list[bytes]) -> dict[bytes, bytes]:
         """Ids of parts that are one word to the file's rules each, encoded as one text: a word ends with an id marked as its end."""
         out = {}
-        for k in range(0, len(parts), 2000):
-            some = parts[k : k + 2000]
-            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(some):
-                flat, cuts = ids.tobytes(), (ends * 4).tolist()
-                out |= {p: flat[a:b] for p, a, b in zip(some, [0, *cuts], cuts, strict=False)}
+        for k in range(0, len(parts), 4000):
+            some = parts[k : k + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(cuts) != len(some):
+                raise ValueError("a word without a marked end")
+            flat = ids.tobytes()
+            out.update((p, flat[a:b]) for p, a, b in zip(some, [0, *cuts], cuts, strict=False))
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -85,8 +83,15 @@ class WordEncoder:
         if not self.by_word:
             found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
             return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        gc.disable()  # the many small objects made here hold no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
+            self.old, self.young = self.young, {b"": b""}
         words = [t.split() for t in texts]
         missing = set().union(*words) - self.young.keys()
         if missing:
@@ -107,12 +112,11 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(binary).to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20):
     """Parts of a batch with about ``most`` bytes of text each."""
-    sizes = np.array([len(x or b"") for x in text_bytes(batch.column(column))], dtype=np.int64)
-    begin = 0
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, begin = np.cumsum(sizes), 0
     while begin < batch.num_rows:
-        total = np.cumsum(sizes[begin:])
-        n = max(1, int(np.searchsorted(total, most, "right")))
+        n = max(1, int(np.searchsorted(total, most + (total[begin - 1] if begin else 0), "right")) - begin)
         yield batch.slice(begin, n)
         begin += n
