@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from quarryline.functions.predicates import presentation_only, word_count
 from quarryline.functions.text import common_prefix
 
-ORDER = Window.partitionBy("stream_id").orderBy("idx")
+def in_order():
+    """Chunks of a stream in their order."""
+    return Window.partitionBy("stream_id").orderBy("idx")
 
 
 def words(text: Column) -> Column:
@@ -33,7 +35,7 @@ def simulate_chunks(turns: DataFrame, step: int = 4, interval: float = 0.8) -> D
 
 def committed(chunks: DataFrame) -> DataFrame:
     """``chunks`` with the words that this hypothesis and the one before agree on from the start."""
-    before = F.lag("text").over(ORDER)
+    before = F.lag("text").over(in_order())
     return chunks.withColumn("committed", F.when(before.isNull(), F.lit(0)).otherwise(common_prefix(words(F.col("text")), words(before))).cast("long"))
 
 
@@ -88,14 +90,14 @@ def superseded(chunks: DataFrame) -> DataFrame:
 
 def revisions(chunks: DataFrame) -> DataFrame:
     """Partials that don't continue the one before: (stream_id, idx, before, after)."""
-    df = chunks.where("NOT is_final").withColumn("before", F.lag("text").over(ORDER))
+    df = chunks.where("NOT is_final").withColumn("before", F.lag("text").over(in_order()))
     changed = F.col("before").isNotNull() & ~F.startswith(F.col("text"), F.concat("before", F.lit(" "))) & (F.col("text") != F.col("before"))
     return df.where(changed).select("stream_id", "idx", "before", F.col("text").alias("after"))
 
 
 def not_increasing(chunks: DataFrame) -> DataFrame:
     """Chunks whose time isn't later than that of the one before."""
-    return chunks.withColumn("before_ts", F.lag("ts").over(ORDER)).where("before_ts >= ts").select("stream_id", "idx", "before_ts", "ts")
+    return chunks.withColumn("before_ts", F.lag("ts").over(in_order())).where("before_ts >= ts").select("stream_id", "idx", "before_ts", "ts")
 
 
 def request_opportunities(decided: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def request_opportunities(decided: DataFrame) -> DataFrame:
 
 def stream_problems(chunks: DataFrame) -> DataFrame:
     """(stream_id, problems): a stream needs three chunks, one final chunk at its end and increasing times."""
-    flagged = chunks.withColumns({"_back": F.coalesce(F.lag("ts").over(ORDER) >= F.col("ts"), F.lit(False))})
+    flagged = chunks.withColumns({"_back": F.coalesce(F.lag("ts").over(in_order()) >= F.col("ts"), F.lit(False))})
     out = flagged.groupBy("stream_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_final").cast("int")).alias("finals"), F.max_by("is_final", "idx").alias("ends"), F.max("_back").alias("back"))
     rules = F.array_compact(F.array(F.when(F.col("n") < 3, "fewer than 3 chunks"), F.when((F.col("finals") != 1) | ~F.col("ends"), "no single final chunk at the end"), F.when(F.col("back"), "times don't increase")))
     return out.select("stream_id", F.array_join(rules, "; ").alias("problems"))
