@@ -34,7 +34,7 @@ def audit(cases: DataFrame) -> DataFrame:
             F.when(unclear, "missing_clarification"),
         )
     )
-    return df.select("case_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("score"), F.round("_cov", 4).alias("coverage"), F.round("_over", 4).alias("overlap"), F.array_join(flags, ",").alias("flags"))
+    return df.select("case_id", F.round(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 9), 4).alias("score"), F.round("_cov", 4).alias("coverage"), F.round("_over", 4).alias("overlap"), F.array_join(flags, ",").alias("flags"))
 
 
 def problems(cases: DataFrame) -> DataFrame:

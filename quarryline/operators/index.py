@@ -33,21 +33,19 @@ def ranked(df: DataFrame, keys: list[str], score: Column, k: int, tie: str = "id
 def bm25(passages: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75, domain: str | None = None) -> DataFrame:
     """(task_id, id, domain, score, rank): the best passages for each (task_id, query).
 
-    Statistics are those of all passages; a domain restricts only what is ranked. Term statistics are
-    joined to the queries' terms before the postings, so only matching postings are read further.
+    Statistics are those of all passages; a domain restricts only what is ranked.
     """
-    posts, sizes = postings(passages), lengths(passages)
-    corpus = sizes.agg(F.count(F.lit(1)).cast("double").alias("n"), F.greatest(F.coalesce(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("mean"))
+    corpus = lengths(passages).agg(F.count(F.lit(1)).cast("double").alias("n"), F.greatest(F.coalesce(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("mean"))
     asked = queries.select("task_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("task_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = asked.select("term").distinct()
-    # after the semi join, only the postings of the queries' terms remain
-    posts = posts.join(wanted, "term", "left_semi")
+    words = passages.select("id", "domain", tokens(F.col("text")).alias("ts")).select("id", "domain", F.size("ts").cast("long").alias("dl"), F.explode("ts").alias("term"))
+    # only the queries' terms are counted and exchanged
+    posts = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "domain", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = document_frequency(posts)
     weights = df.withColumn("_one", F.lit(1)).join(corpus.withColumn("_one", F.lit(1)), "_one").drop("_one")  # one row of statistics
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = asked.join(weights.select("term", idf.alias("idf"), "mean"), "term")
     hits = posts if domain is None else posts.where(F.col("domain") == domain)
-    hits = hits.join(sizes.select("id", "dl"), "id").join(terms, "term")
+    hits = hits.join(terms, "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean"))) * F.col("qtf")
     scores = hits.groupBy("task_id", "id", "domain").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     return ranked(scores, ["task_id"], F.col("score"), k)

@@ -264,9 +264,9 @@ GAP = "|".join(C.GAPS)
 AUDIT = f"""{CASES},
 ab AS (SELECT *, {BAG.format('query')} AS q, {BAG.format('answer')} AS a, {BAG.format('evidence')} AS e, len(regexp_extract_all(query, '[a-z0-9]+')) AS nq FROM cs),
 ac AS (SELECT *, len(list_intersect(a, e)) / nullif(len(a), 0) AS cov, coalesce(len(list_intersect(q, e)) / nullif(len(q), 0), 0) AS ovl, case_class IN ('answerable', 'partial') AS grounded FROM ab),
-au AS (SELECT *, round(greatest(0, least(1, CASE WHEN grounded THEN 0.15 + 0.70 * coalesce(cov, 0) + 0.15 * ovl WHEN source = 'benchmark' THEN 0.90 ELSE 0.55 END
+au AS (SELECT *, round(round(greatest(0, least(1, CASE WHEN grounded THEN 0.15 + 0.70 * coalesce(cov, 0) + 0.15 * ovl WHEN source = 'benchmark' THEN 0.90 ELSE 0.55 END
   - CASE WHEN nq NOT BETWEEN 4 AND 80 THEN 0.10 ELSE 0 END + CASE WHEN case_class = 'partial' AND regexp_matches(lower(answer), '{GAP}') THEN 0.10 ELSE 0 END
-  - CASE WHEN case_class = 'underspecified' AND trim(clarification) = '' THEN 0.25 ELSE 0 END)), 4) AS score,
+  - CASE WHEN case_class = 'underspecified' AND trim(clarification) = '' THEN 0.25 ELSE 0 END)), 9), 4) AS score,
   array_to_string(list_filter([CASE WHEN grounded AND cov < 0.35 THEN 'low_answer_span_overlap' END, CASE WHEN grounded AND trim(evidence) = '' THEN 'missing_support_span' END,
   CASE WHEN nq NOT BETWEEN 4 AND 80 THEN 'unusual_query_length' END, CASE WHEN case_class = 'partial' AND NOT regexp_matches(lower(answer), '{GAP}') THEN 'partial_answer_missing_explicit_gap' END,
   CASE WHEN case_class = 'underspecified' AND trim(clarification) = '' THEN 'missing_clarification' END], lambda x: x IS NOT NULL), ',') AS flags FROM ac)"""
