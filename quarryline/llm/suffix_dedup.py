@@ -290,7 +290,8 @@ def _sorted_spans(parts: DataFrame, rule: Repeats) -> DataFrame:
         if held:
             yield flush(held)
 
-    return parts.repartition("key").sortWithinPartitions("key").mapInArrow(run, SPAN)
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # sorting is slow for its bytes, so tasks aren't merged by size
+    return parts.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(run, SPAN)
 
 
 def _divided(parts: DataFrame, rule: Repeats, cell: int) -> DataFrame:
@@ -326,7 +327,8 @@ def repeated_spans(rows: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
     """(row, lo, hi) such that every window that starts in lo..hi of the row's text is repeated, for ``rows`` (row, text)."""
     spark = rows.sparkSession
     found = found_blocks(rows, rule)
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    # written first: joined straight from its aggregation, a very common anchor couldn't be split over tasks
+    often = stage_table(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "repeat-anchors")
     shared = stage_table(found.join(often, "anchor"), "repeat-blocks")
     _free(spark)
     classes = shared.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "lo", "shape")).alias("one"))
