@@ -201,12 +201,20 @@ def drift_segments(spark, sf):
     return _similarities(spark, sf).select("label", "vec_id", F.sum(F.when(F.col("sim") < 0.65, 1).otherwise(0)).over(w).alias("segment"))
 
 
-@query("""WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS age FROM events)
-SELECT user_id, round(sum(exp(-0.5 * age) * value) / sum(exp(-0.5 * age)), 6) AS mean FROM r WHERE age < 8 GROUP BY user_id""")
+@query("""WITH r AS (SELECT user_id, value, exp(-0.5 * (row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1)) AS w FROM events)
+SELECT user_id, round(sum(w * value) / sum(w), 6) AS mean FROM r GROUP BY user_id""")
 def exp_weighted_confidence(spark, sf):
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    last = table(spark, sf, "events").withColumn("age", F.row_number().over(w) - 1).where("age < 8").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("age")).alias("a"), "value"))).alias("v"))
-    return last.select("user_id", F.round(recency_mean(F.transform("v", lambda x: x["value"]), 0.5), 6).alias("mean"))
+    rows = table(spark, sf, "events").withColumn("w", F.exp(-0.5 * (F.row_number().over(w) - 1)))
+    return rows.groupBy("user_id").agg(F.round(F.sum(F.col("w") * F.col("value")) / F.sum("w"), 6).alias("mean"))
+
+
+CONFIDENCES = [(1, [0.2, 0.9]), (2, [0.5]), (3, [0.1, 0.1, 0.7, 0.8])]
+
+
+@query(f"""SELECT k, round(list_sum(list_transform(c, lambda x, i: x * exp(-0.3 * (len(c) - i)))) / list_sum(list_transform(c, lambda x, i: exp(-0.3 * (len(c) - i)))), 6) AS mean FROM {values(CONFIDENCES, ['k', 'c'])}""")
+def recency_means(spark, sf):
+    return spark.createDataFrame(CONFIDENCES, "k int, c array<double>").select("k", F.round(recency_mean(F.col("c"), 0.3), 6).alias("mean"))
 
 
 SAID = [
