@@ -102,3 +102,25 @@ def dates_kept(question: Column, sentence: Column) -> Column:
 
 def abstains(answer: Column) -> Column:
     return answer.rlike(ABSTAIN)
+
+
+#: Codes of state hosts, and their states.
+STATES = (
+    "al:Alabama|ak:Alaska|az:Arizona|ar:Arkansas|ca:California|co:Colorado|ct:Connecticut|de:Delaware|fl:Florida|ga:Georgia|"
+    "hi:Hawaii|id:Idaho|il:Illinois|in:Indiana|ia:Iowa|ks:Kansas|ky:Kentucky|la:Louisiana|me:Maine|md:Maryland|ma:Massachusetts|"
+    "mi:Michigan|mn:Minnesota|ms:Mississippi|mo:Missouri|mt:Montana|ne:Nebraska|nv:Nevada|nh:New Hampshire|nj:New Jersey|"
+    "nm:New Mexico|ny:New York|nc:North Carolina|nd:North Dakota|oh:Ohio|ok:Oklahoma|or:Oregon|pa:Pennsylvania|ri:Rhode Island|"
+    "sc:South Carolina|sd:South Dakota|tn:Tennessee|tx:Texas|ut:Utah|vt:Vermont|va:Virginia|wa:Washington|wv:West Virginia|"
+    "wi:Wisconsin|wy:Wyoming"
+)
+
+
+def jurisdiction_fits(question: Column, url: Column) -> Column:
+    """Whether a source may answer: a state's host doesn't if the question names one other state only; va.gov is federal."""
+    host = F.lower(F.coalesce(F.call_function("try_parse_url", url, F.lit("HOST")), F.lit("")))
+    code = F.regexp_extract(host, r"(?:^|\.)([a-z]{2})\.gov$", 1)
+    names = F.create_map(*[F.lit(x) for pair in STATES.split("|") for x in pair.split(":")])
+    own = F.try_element_at(names, code)
+    asked = F.filter(F.map_values(names), lambda s: F.regexp_like(question, F.concat(F.lit(r"(?i)\b"), s, F.lit(r"\b"))))
+    other = own.isNotNull() & (F.size(asked) == 1) & ~F.array_contains(asked, own)
+    return ~((code != "va") & F.coalesce(other, F.lit(False)))

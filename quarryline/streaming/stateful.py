@@ -115,3 +115,69 @@ def publish(stream: DataFrame, path: str, checkpoint: str, order: str):
         batch.withColumn("batch", F.lit(number).cast("long")).write.mode("append").partitionBy("batch").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+class Semantic:
+    """The controller by meaning: a stream's recent embeddings must stay close before it retrieves.
+
+    ``window`` hypotheses are looked at; similarity at or above ``stable`` throughout means stability, below
+    ``drift`` a change of intent: before the first retrieval the window starts anew, after it a new one is
+    due. Thresholds are fixed per stream, so streams don't depend on each other's order.
+    """
+
+    def __init__(self, encode, window: int = 3, stable: float = 0.85, drift: float = 0.65, min_confidence: float = 0.72, min_chars: int = 24, min_tokens: int = 5):
+        self.encode, self.window, self.stable, self.drift = encode, window, stable, drift
+        self.min_confidence, self.min_chars, self.min_tokens = min_confidence, min_chars, min_tokens
+
+    def step(self, state: dict, text: str, is_final: bool, confidence: float | None) -> tuple[dict, str, str]:
+        text = text.strip()
+        if not text:
+            return state, "No-Retrieval", "empty text"
+        if _delivery(text):
+            return state, "No-Retrieval", "presentation-only command"
+        if is_final:
+            return state, "Retrieve", "final transcript"
+        sure = 0.5 if confidence is None else confidence
+        if sure < self.min_confidence:
+            return state, "Wait", "low confidence"
+        if len(text) < self.min_chars or len(text.split()) < self.min_tokens:
+            return state, "Wait", "too short"
+        vector = self.encode([text])[0]
+        seen, sims = state["n"] + 1, list(state["sims"])
+        if state["last"] is not None:
+            sims.append(float(max(-1.0, min(1.0, vector @ state["last"]))))
+        scores = [*state["scores"], sure][-self.window :]
+        state = {"n": seen, "sims": sims[-(self.window - 1) :], "last": vector, "fired": state["fired"], "scores": scores}
+        if seen < self.window:
+            return state, "Wait", "collecting"
+        if len(sims) >= 2 and sims[-1] < self.drift:
+            if state["fired"]:
+                return state, "Retrieve", "intent drift"
+            return {**state, "n": 1, "sims": [], "scores": scores[-1:]}, "Wait", "intent drift"
+        weight = [2.718281828459045 ** (-0.5 * i) for i in range(len(scores))][::-1]
+        steady = sum(s * w for s, w in zip(scores, weight, strict=True)) / sum(weight)
+        if len(sims) >= self.window - 1 and all(s >= self.stable for s in sims[-(self.window - 1) :]) and steady >= self.min_confidence:
+            if state["fired"]:
+                return state, "Wait", "already retrieved"
+            return {**state, "fired": True}, "Retrieve", "stable"
+        return state, "Wait", "not stable yet"
+
+    @staticmethod
+    def fresh() -> dict:
+        return {"n": 0, "sims": [], "last": None, "fired": False, "scores": []}
+
+
+def semantic_decisions(chunks: DataFrame, backend: str = "hash128", **settings) -> DataFrame:
+    """(stream_id, idx, decision, reason) of a table of chunks (stream_id, idx, text, is_final, confidence), by the semantic controller."""
+    from quarryline.operators.models import ENCODERS
+
+    factory = ENCODERS[backend]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        controller, state, rows = Semantic(factory(), **settings), Semantic.fresh(), []
+        for r in frame.sort_values("idx").itertuples():
+            state, decision, reason = controller.step(state, r.text or "", bool(r.is_final), None if pd.isna(r.confidence) else r.confidence)
+            rows.append((r.stream_id, r.idx, decision, reason))
+        return pd.DataFrame(rows, columns=["stream_id", "idx", "decision", "reason"])
+
+    return chunks.groupBy("stream_id").applyInPandas(run, "stream_id string, idx long, decision string, reason string")

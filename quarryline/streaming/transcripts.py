@@ -119,3 +119,28 @@ def word_times(turns: DataFrame) -> DataFrame:
     spoken = 1 / 2.5 + 0.03 * F.length("word") + F.when(F.col("word").rlike("[.,;:!?]$"), 0.32).otherwise(0.0)
     total = F.sum(spoken).over(Window.partitionBy("stream_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     return df.select("stream_id", "pos", "word", F.round(total, 2).alias("end_s"))
+
+
+def spoken(turns: DataFrame, seed: int = 20260928, revised: float = 0.35) -> DataFrame:
+    """(stream_id, idx, ts, text, is_final, confidence): word by word, in some streams with a word misheard at first.
+
+    All chance is a keyed hash of (seed, stream), so a stream is the same in any run and any order: whether
+    it is revised, at which word from a quarter to seven tenths of six words or more, and for how many words
+    until the correction. A misheard word has two of its letters exchanged.
+    """
+    draw = lambda what, n: F.pmod(F.xxhash64(F.lit(f"{seed}:{what}"), "stream_id"), n)
+    df = turns.select("stream_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("n", F.size("w"))
+    low, high = F.greatest(F.lit(1), F.floor(F.col("n") * 0.25)), F.least(F.col("n") - 2, F.floor(F.col("n") * 0.7))
+    chosen = (draw("revise", F.lit(1000)) < revised * 1000) & (F.col("n") >= 6) & (low <= high)
+    df = df.withColumn("at", F.when(chosen, low + draw("word", F.greatest(high - low + 1, F.lit(1)))).cast("int"))
+    df = df.withColumn("until", (F.col("at") + 1 + draw("span", F.greatest(F.least(F.lit(3), F.col("n") - F.col("at") - 1), F.lit(1)))).cast("int"))
+    misheard = F.transform("w", lambda x, i: F.when((i == F.col("at")) & (F.length(x) >= 4), F.concat(F.substring(x, 2, 1), F.substring(x, 1, 1), F.substring(x, 3, 1 << 20))).when(i == F.col("at"), F.concat(x, x)).otherwise(x))
+    end = F.transform("w", lambda x: 1 / 2.5 + 0.03 * F.length(x) + F.when(x.rlike("[.,;:!?]$"), 0.32).otherwise(0.0))
+    df = df.withColumns({"m": misheard, "d": end})
+    df = df.select("*", F.explode(F.sequence(F.lit(1), F.col("n") + 1)).alias("k"))
+    own = Window.partitionBy("stream_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    final = F.col("k") > F.col("n")
+    wrong = F.col("at").isNotNull() & (F.col("k") > F.col("at")) & (F.col("k") < F.col("until"))
+    spent = F.sum(F.when(final, 0.3).otherwise(F.try_element_at("d", F.col("k")))).over(own)
+    confidence = F.when(final, 0.97).otherwise(F.round(F.least(F.lit(0.93), 0.5 + 0.4 * F.col("k") / F.col("n")), 2))
+    return df.select("stream_id", (F.col("k") - 1).cast("long").alias("idx"), F.round(spent, 2).alias("ts"), F.array_join(F.slice(F.when(wrong, F.col("m")).otherwise(F.col("w")), F.lit(1), F.least("k", "n")), " ").alias("text"), final.alias("is_final"), confidence.alias("confidence"))

@@ -140,3 +140,46 @@ def test_curation_rules(spark):
     row = ("c1", "nowhere", "odd", "answer", "", "", "", "", "approved")
     names = "case_id string, split string, case_class string, behavior string, query string, answer string, evidence string, clarification string, review string"
     assert curation.problems(spark.createDataFrame([row], names)).first().problems == "invalid split; invalid case_class; empty query"
+
+
+def test_semantic_controller_fires_once_and_again_after_drift():
+    vectors = {"same": [1.0, 0.0], "other": [0.0, 1.0]}
+    import numpy as np
+
+    c = stateful.Semantic(lambda ts: np.array([vectors[ts[0].split()[0]] for _ in ts]))
+    state, said = stateful.Semantic.fresh(), []
+    for first in ("same", "same", "same", "same", "other"):
+        state, decision, reason = c.step(state, first + " words that are long enough here", False, 0.9)
+        said.append((decision, reason))
+    assert said == [("Wait", "collecting"), ("Wait", "collecting"), ("Retrieve", "stable"), ("Wait", "already retrieved"), ("Retrieve", "intent drift")]
+    assert c.step(state, "same", False, 0.9)[2] == "too short" and c.step(state, "x", True, None)[1] == "Retrieve"
+
+
+def test_spoken_streams_are_reproducible_and_end_with_the_text(spark):
+    turns = spark.createDataFrame([(f"s{i}", "the quick brown foxes jumped over lazy dogs, twice") for i in range(30)] + [("e", "")], "stream_id string, text string")
+    rows = transcripts.spoken(turns).collect()
+    again = transcripts.spoken(turns.repartition(5)).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+    assert {r.text for r in rows if r.is_final} == {"the quick brown foxes jumped over lazy dogs, twice"}
+    assert transcripts.stream_problems(transcripts.spoken(turns)).where("problems <> ''").count() == 0
+    revised = {r.stream_id for r in transcripts.revisions(transcripts.spoken(turns)).collect()}
+    assert 2 <= len(revised) <= 25
+
+
+def test_breaker_and_sequences():
+    from quarryline.operators import scoring
+
+    now = [0.0]
+    b = scoring.Breaker(failures=2, wait_s=10, clock=lambda: now[0])
+
+    def bad():
+        raise ValueError
+
+    for _ in range(2):
+        with pytest.raises(ValueError):
+            b.call(bad)
+    with pytest.raises(RuntimeError):
+        b.call(int)
+    now[0] = 11
+    assert b.state == "half-open" and b.call(int) == 0 and b.state == "closed"
+    assert scoring.longest_common(list("abcbdab"), list("bdcaba")) == 4
