@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm import wordbpe
-from quarryline.llm.runtime import stage_table
+from quarryline.llm.runtime import releasing, stage_table
 
 
 @dataclass(frozen=True)
@@ -70,7 +70,7 @@ def encoded(docs: DataFrame, windows: Windows, tokenizer: str | None = None) ->
             used = np.flatnonzero(df)
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([used.tolist()], pa.list_(pa.int64())), pa.array([df[used].tolist()], pa.list_(pa.int64()))], ["doc_id", "place", "n", "ids", "terms", "df"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, place long, n long, ids binary, terms array<long>, df array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(releasing(run), "doc_id long, place long, n long, ids binary, terms array<long>, df array<long>")
 
 
 class Index:
@@ -155,6 +155,7 @@ def pack(docs: DataFrame, windows: Windows = Windows(), tokenizer: str | None =
     mean = (total["ids"] or 0) / max(1, total["n"])
 
     def run(batches):
+        wordbpe.forget()
         task, window = TaskContext.get().partitionId(), 0
         held: list[tuple] = []  # ids, start of what isn't packed, doc_id
         amount = 0
@@ -196,7 +197,7 @@ def pack(docs: DataFrame, windows: Windows = Windows(), tokenizer: str | None =
 
     laid = rows.where("n IS NOT NULL").select("doc_id", "ids", "n", "place", F.xxhash64("ids").alias("_h"), F.monotonically_increasing_id().alias("_n"))
     laid = laid.repartitionByRange("place", "_h", "_n").sortWithinPartitions("place", "_h", "_n").select("doc_id", "ids", "n")
-    return laid.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return laid.mapInArrow(releasing(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def op5_bm25_pack(spark, sf_dir: str) -> DataFrame:

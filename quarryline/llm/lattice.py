@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.components import components
-from quarryline.llm.runtime import stage_table
+from quarryline.llm.runtime import releasing, stage_table
 
 
 @dataclass(frozen=True)
@@ -144,7 +144,7 @@ def _listed(classes: DataFrame, rule: Lattice) -> DataFrame:
                     columns = [names.ravel(), np.repeat(nodes[at], width), *(np.repeat(sketch[:, w], width) for w in range(words))]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "node", *(f"s{w}" for w in range(words))])
 
-    return classes.select("node", "vector").mapInArrow(run, "cell long, node long, " + ", ".join(f"s{w} long" for w in range(words)))
+    return classes.select("node", "vector").mapInArrow(releasing(run), "cell long, node long, " + ", ".join(f"s{w} long" for w in range(words)))
 
 
 def candidates(listed: DataFrame, rule: Lattice) -> DataFrame:
@@ -200,7 +200,7 @@ def candidates(listed: DataFrame, rule: Lattice) -> DataFrame:
             ab = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(releasing(run), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:

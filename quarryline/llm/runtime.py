@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +46,26 @@ def text_or_empty(name: str = "text"):
 def keep_only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; further columns, whatever their names, play no part."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def release_memory() -> None:
+    """Give freed memory back to the machine; Python workers live on between stages and would keep it."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def releasing(run):
+    """A partition function that gives its memory back when it ends."""
+
+    @wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        release_memory()
+
+    return wrapped

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.components import components
-from quarryline.llm.runtime import stage_table
+from quarryline.llm.runtime import releasing, stage_table
 
 SEGMENTS = 5
 DISTANCE = 2
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), f"doc_id {kind}, fp long")
 
 
 def _cuts(segments: int) -> list[tuple[int, int]]:

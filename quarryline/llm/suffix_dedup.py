@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm import wordbpe
-from quarryline.llm.runtime import stage_table
+from quarryline.llm.runtime import releasing, stage_table
 
-TILE = 1 << 20
+TILE = 1 << 19
 _POWERS: list[np.ndarray] = []
 
 
@@ -146,7 +146,7 @@ def found_blocks(rows: DataFrame, rule: Repeats) -> DataFrame:
             shape = ((at - lo) << 12 | (hi - lo)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(row[piece]), pa.array(lo - begins[piece] + place[piece]), pa.array(shape)], ["anchor", "whole", "row", "lo", "shape"])
 
-    return rows.mapInArrow(run, BLOCK)
+    return rows.mapInArrow(releasing(run), BLOCK)
 
 
 def suffix_order(text: list[int]) -> list[int]:
@@ -291,7 +291,7 @@ def _sorted_spans(parts: DataFrame, rule: Repeats) -> DataFrame:
             yield flush(held)
 
     tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # sorting is slow for its bytes, so tasks aren't merged by size
-    return parts.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(run, SPAN)
+    return parts.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(releasing(run), SPAN)
 
 
 def _divided(parts: DataFrame, rule: Repeats, cell: int) -> DataFrame:
@@ -350,7 +350,7 @@ def repeated_spans(rows: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
                 some = out[a : a + 4096]
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in some], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()))], ["key", "row", "at", "n", "anchor_at", "around", "blocks"])
 
-    parts = stage_table(by_row.join(rows, "row").select("row", "bs", "text").mapInArrow(cut, PART + ", blocks long"), "repeat-parts")
+    parts = stage_table(by_row.join(rows, "row").select("row", "bs", "text").mapInArrow(releasing(cut), PART + ", blocks long"), "repeat-parts")
     _free(spark)
     names = [c.split()[0] for c in PART.split(", ")]
     spans = [stage_table(_sorted_spans(parts.where(F.col("blocks") <= rule.group).select(*names), rule), "repeat-spans")]
@@ -401,7 +401,7 @@ def dedup(docs: DataFrame, rule: Repeats = Repeats(), keep_text: bool = True, ca
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)] + batch.columns[4:], ["row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *carry])
 
-    return joined.mapInArrow(run, "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string" + kinds)
+    return joined.mapInArrow(releasing(run), "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string" + kinds)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm import wordbpe
-from quarryline.llm.runtime import shared_root
+from quarryline.llm.runtime import releasing, shared_root
 
 MAGIC = b"QLRP"
 SCHEMA = "part long, shard long, n_docs long, n_tokens long, payload binary"
@@ -209,13 +209,14 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"_h": F.xxhash64("text"), "_n": F.monotonically_increasing_id()})
     ranged = rows.repartitionByRange("doc_id", "_h", "_n").sortWithinPartitions("doc_id", "_h", "_n").select("doc_id", "text")
-    ranged.mapInArrow(run, SCHEMA).write.parquet(path)
+    ranged.mapInArrow(releasing(run), SCHEMA).write.parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of every document, decoded from the shards."""
 
     def run(batches):
+        wordbpe.forget()
         for batch in batches:
             for part, shard, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = Shard(payload.as_py())
@@ -228,7 +229,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     shards = spark.read.schema(SCHEMA).parquet(path)
-    docs = shards.select("part", "shard", "payload").mapInArrow(run, "part long, shard long, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    docs = shards.select("part", "shard", "payload").mapInArrow(releasing(run), "part long, shard long, doc_id long, inside long, n_tokens long, ids_crc32 long")
     before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row per writing task
     parts = parts.select("part", before(Window.orderBy("part"), "n").alias("part_start"))

@@ -28,7 +28,7 @@ class WordEncoder:
     ``limit`` bounds the words remembered; past it the older half is forgotten.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -100,6 +100,12 @@ class WordEncoder:
         return [b"".join(map(get, ws)) for ws in words]
 
 
+def forget() -> None:
+    """Drop the words that this worker remembers, once a job's encoding is over."""
+    for e in _ENCODERS.values():
+        e.young, e.old = {b"": b""}, {}
+
+
 def encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
