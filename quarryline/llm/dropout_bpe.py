@@ -16,6 +16,7 @@ one doc_id get one segmentation; an empty table gives an empty result; further c
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import zlib
@@ -47,7 +48,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class MergeModel:
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -234,6 +235,13 @@ class MergeModel:
         return self._bytes([s for s, k in zip(symbols, size, strict=True) if k]), step
 
     def encode(self, texts: list[str], keys: list[int], seed: int = 0, dropout: float = 0.1) -> list[np.ndarray]:
+        gc.disable()  # the many small objects made here hold no cycles
+        try:
+            return self._encode(texts, keys, seed, dropout)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str], keys: list[int], seed: int, dropout: float) -> list[np.ndarray]:
         bound = np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
         mark = (lambda t: SPACE + t) if self.prefix else (lambda t: t)
         parts: list[str] = []
@@ -249,17 +257,9 @@ class MergeModel:
         spots = self._remember(parts)
         out = list(map(self.plain.__getitem__, spots))
         if bound and parts:
-            steps = np.array(self.steps, np.int32)[np.array(spots)]
-            hit, short = np.zeros(len(parts), bool), np.arange(len(parts))
-            for n in range(int(steps.max())):
-                short = short[(steps[short] > n) & ~hit[short]]
-                if not len(short):
-                    break
-                hit[short] = self._skips(base[short], np.full(len(short), n), bound)
-            again = np.flatnonzero(hit)
-            ids, _ = self.agendas([parts[i] for i in again.tolist()], base[again], bound)
-            for i, b in zip(again.tolist(), ids, strict=True):
-                out[i] = b
+            spot = np.array(spots)
+            for i, ids in zip(*self._varied(parts, spot, np.array(self.steps, np.int32)[spot], base, bound), strict=True):
+                out[i] = ids
         ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
         return [np.frombuffer(b"".join(out[a:b]), "<u2") for a, b in zip(ends, ends[1:], strict=False)]
 
@@ -267,6 +267,7 @@ class MergeModel:
         self.spot: dict[str, int] = {}
         self.plain: list[bytes] = []
         self.steps: list[int] = []
+        self.variant: dict[int, bytes] = {}  # by the place of a part and the bits of its skips
 
     def _remember(self, parts: list[str]) -> list[int]:
         """Where each part's agenda without a skip is kept."""
@@ -283,6 +284,43 @@ class MergeModel:
             spots = list(map(self.spot.__getitem__, parts))
         return spots
 
+    def _varied(self, parts, spot, steps, base, bound) -> tuple[list[int], list[bytes]]:
+        """The parts in whose agenda something is skipped, and their ids.
+
+        What a part becomes depends on the skips among its steps only; results whose agenda is at most one
+        step longer than the plain one are remembered by part and skips.
+        """
+        skips, left = np.zeros(len(parts), np.int64), np.flatnonzero(steps > 0)
+        for n in range(min(31, int(steps.max(initial=0)) + 1)):
+            left = left[steps[left] >= n]
+            hit = left[self._skips(base[left], np.full(len(left), n), bound)]
+            skips[hit] |= 1 << n
+        wide = steps > 30
+        rows = np.flatnonzero(wide | ((skips & ((1 << np.minimum(steps, 30).astype(np.int64)) - 1)) > 0))
+        keys = np.where(wide[rows], -1, spot[rows] << 31 | skips[rows])
+        ids = list(map(self.variant.get, keys.tolist()))
+        new = np.array([i for i, x in enumerate(ids) if x is None], np.int64)
+        if len(new):
+            _, first = np.unique(keys[new], return_index=True)
+            first = np.union1d(new[first], new[keys[new] < 0])
+            made, taken = self.agendas([parts[i] for i in rows[first].tolist()], base[rows[first]], bound)
+            if len(self.variant) + len(made) > self.limit:
+                self.variant = {}
+            kept = {}
+            for i, x, n, most, k in zip(first.tolist(), made, taken.tolist(), steps[rows[first]].tolist(), keys[first].tolist(), strict=True):
+                ids[i] = x
+                if k >= 0 and n <= most + 1:
+                    kept[k] = x
+            self.variant.update(kept)
+            own = [i for i in new.tolist() if ids[i] is None and keys[i] not in kept]
+            made, _ = self.agendas([parts[i] for i in rows[own].tolist()], base[rows[own]], bound)
+            for i, x in zip(own, made, strict=True):
+                ids[i] = x
+            for i in new.tolist():
+                if ids[i] is None:
+                    ids[i] = kept[keys[i]]
+        return rows.tolist(), ids
+
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids.tolist()))
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode()
@@ -308,7 +346,7 @@ def encode(docs: DataFrame, seed: int = 17, dropout: float = 0.1, path: str | No
     def run(batches):
         m = model(file)
         for batch in batches:
-            for b in wordbpe.slices(batch, 1, 2 << 20):
+            for b in wordbpe.slices(batch, 1, 4 << 20):
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 docs = b.column(0).to_pylist()
                 ids = m.encode(texts, [d or 0 for d in docs], seed, dropout)

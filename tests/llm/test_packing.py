@@ -85,3 +85,19 @@ def test_side_by_side_agendas_equal_single_ones():
     ids, steps = m.agendas(parts, base, bound)
     single = [m._agenda(p, int(b), int(bound)) for p, b in zip(parts, base)]
     assert ids == [x for x, _ in single] and steps.tolist() == [s for _, s in single]
+
+
+def test_remembered_segmentations_equal_fresh_ones():
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("theandingsor"), rng.integers(1, 14))) for _ in range(60)] + ["a" * 45, "x" * 70]
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(12)]
+    m = dropout_bpe.MergeModel(dropout_bpe.default_file())
+    bound = np.uint64(int(0.25 * 2.0**64))
+    got = m.encode(texts, list(range(12)), 5, 0.25)
+    for n, t in enumerate(texts):
+        parts = dropout_bpe._PARTS.findall("▁" + t.replace(" ", "▁"))
+        key = dropout_bpe._mix(np.array([n], np.uint64) + dropout_bpe._mix(np.array([5], np.uint64)))
+        base = dropout_bpe._mix(key + np.arange(len(parts)).astype(np.uint64))
+        want = b"".join(m._agenda(p, int(b), int(bound))[0] for p, b in zip(parts, base))
+        assert got[n].tobytes() == want
+    assert len(m.variant) > 100
