@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import bm25_pack, cotrain, secrets, simhash, suffix_dedup
+from quarryline.llm import bm25_pack, cotrain, secrets, shingles, suffix_dedup
 from quarryline.llm.runtime import stage_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,8 +29,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group, that with the smallest doc_id."""
-    return _documents(simhash.one_of_each(docs.select(*COLUMNS)))
+    """One document, that with the smallest doc_id, of each group linked by similar sets of five-word shingles."""
+    return _documents(shingles.one_of_each(docs.select(*COLUMNS)))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -128,14 +128,6 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return table.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs``, a stored table, that have the smallest doc_id of their group; of equal doc_ids, one row."""
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-    groups = near_groups(keyed.select(F.struct("doc_id", F.col("_row").alias("row")).alias("doc_id"), "text"), distance)
-    heads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id.row").alias("_row"))
-    return keyed.join(heads, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
