@@ -3,8 +3,8 @@
 Patterns find the base spans. Beyond them, long tokens are put through a battery of randomness
 tests in the encoding that their characters suggest (chi-squared uniformity over its alphabet,
 runs about the middle, lag-1 serial correlation); a token that fails any of them is no random
-string. For the rest, the likelihood ratio of uniform characters against the corpus's own character
-frequencies bounds the chance that ordinary text looks this random: P(ratio >= t) <= 1 / t. These
+string. For the rest, the likelihood ratio of uniform characters against the character frequencies
+of the corpus's own words in that encoding (see ``background``) bounds the chance that ordinary text looks this random: P(ratio >= t) <= 1 / t. These
 bounds, smaller for longer tokens, enter a Benjamini-Hochberg step-up within each stratum of
 encoding and length, over all tokens of the corpus.
 
@@ -129,6 +129,31 @@ def battery(codes: Column, k: int) -> Column:
     return F.least(F.lit(1.0), 3 * F.least(p_chi2, p_runs, p_serial))
 
 
+def background(docs: DataFrame, battery_of: Battery) -> dict[str, dict[str, int]]:
+    """How often the words of ``docs`` (text) in each encoding have each of its characters.
+
+    Base spans don't count, nor do tokens that the battery lets pass and that occur once, as secrets do:
+    what is found in one place doesn't depend on how many secrets lie elsewhere.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    for pattern, _, _ in BASE:
+        text = F.regexp_replace(text, pattern, " ")
+    words = docs.select(F.explode(F.split(text, "[^A-Za-z0-9+/_-]+")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    words = words.select("w", "n", _encoding(F.col("w")).alias("code"))
+    chance = F.lit(None).cast("double")
+    for code, alphabet in ALPHABETS.items():
+        body = F.lower("w") if code == "hex" else F.col("w")
+        chance = F.when(F.col("code") == code, let(_codes(body, alphabet), lambda codes, k=len(alphabet): battery(codes, k))).otherwise(chance)
+    alone = (F.length("w") >= battery_of.least) & (F.col("n") == 1)
+    kept = words.where(F.col("code").isNotNull() & F.when(alone, chance <= battery_of.alpha).otherwise(True))
+    body = F.when(F.col("code") == "hex", F.lower("w")).otherwise(F.col("w"))
+    chars = kept.select("code", "n", F.explode(F.split(body, "")).alias("c")).groupBy("code", "c").agg(F.sum("n").alias("n"))
+    counts: dict[str, dict[str, int]] = {c: {} for c in ALPHABETS}
+    for r in chars.collect():  # at most the alphabets' 176 characters
+        counts[r["code"]][r["c"]] = r["n"]
+    return counts
+
+
 def scan(docs: DataFrame, battery_of: Battery = Battery()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, base (array of start, kind, end) and found (with the method's spans)."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -143,11 +168,7 @@ def scan(docs: DataFrame, battery_of: Battery = Battery()) -> DataFrame:
     rows = rows.withColumn("_tokens", F.transform("_tokens", lambda t: F.struct(t["start"], t["end"], t["body"], _encoding(t["body"]).alias("code"))))
     rows = stage_table(rows.withColumn("_tokens", F.coalesce(F.filter("_tokens", lambda t: t["code"].isNotNull()), F.array().cast("array<struct<start:bigint,end:bigint,body:string,code:string>>"))), "secret-tokens")
 
-    tokens = rows.select(F.explode("_tokens").alias("t")).select(F.col("t.code").alias("code"), F.when(F.col("t.code") == "hex", F.lower("t.body")).otherwise(F.col("t.body")).alias("body"))
-    chars = tokens.select("code", F.explode(F.split("body", "")).alias("c")).groupBy("code", "c").count()
-    counts: dict[str, dict[str, int]] = {c: {} for c in ALPHABETS}
-    for r in chars.collect():  # at most the alphabets' 176 characters
-        counts[r["code"]][r["c"]] = r["count"]
+    counts = background(docs, battery_of)
 
     def scored(t: Column) -> Column:
         """-10 log10 of the false-alarm bound, 0 if a test rejects randomness."""

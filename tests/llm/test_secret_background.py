@@ -1,0 +1,20 @@
+"""Finding one secret must not depend on how many others there are."""
+
+import numpy as np
+import pytest
+
+from quarryline.llm import secrets
+
+LETTERS = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+WORDS = ["Donaudampfschifffahrt", "internationalization", "verantwortungsbewusste", "zusammengehoerigkeitsgefuehl", "counterrevolutionaries", "electroencephalography"]
+PROSE = "The quick brown fox jumps over 13 lazy dogs and Victor Queen explains why big Kiwi juice is never mixed with x or z"
+
+
+@pytest.mark.parametrize("n", [5, 36, 300])
+def test_keys_are_found_however_many_there_are(spark, n):
+    rng = np.random.default_rng(11)
+    keys = ["".join(rng.choice(LETTERS, 40)) for _ in range(n)]
+    rows = [(i, f"{PROSE} {WORDS[i % 6]}") for i in range(36)] + [(100 + i, f"see {k} end") for i, k in enumerate(keys)]
+    got = {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r.found] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == [] for i in range(36))
+    assert sum(got[100 + i] == [(3, 4, 44)] for i in range(n)) >= 0.95 * n
