@@ -24,14 +24,14 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and return the table read back.
+def stage_table(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` once as Parquet, with the writer's ``options``, in the shared folder and return the table read back.
 
     Cuts the lineage without keeping anything on one machine: a lost executor costs only its running tasks.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/stage/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,10 +15,10 @@
 
 Blocks are compared by two 64-bit hashes, windows in step 3 byte by byte.
 
-Input must be a stored table, as rows are told apart by their place in it. Defined cases: a null
-text is empty; shorter texts than ``length`` lose nothing; repeated rows lose everything from
-``length`` bytes on; null or repeated doc_ids do no harm; an empty table gives an empty result;
-further columns are ignored.
+Rows are numbered and written once, and told apart by these numbers. Defined cases: a null text is
+empty; shorter texts than ``length`` lose nothing; repeated rows lose everything from ``length``
+bytes on; null or repeated doc_ids do no harm; an empty table gives an empty result; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -381,6 +381,8 @@ def dedup(docs: DataFrame, rule: Repeats = Repeats(), keep_text: bool = True, ca
     In ``text`` a character of which bytes were removed is left out altogether.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)])
+    # written once: scans of ``docs`` in later jobs may be split, and so numbered, in another way
+    rows = stage_table(rows, "repeat-rows", compression="zstd")
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     spans = repeated_spans(rows.select("row", "text"), rule).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     joined = rows.join(spans, "row", "left").select("row", "text", "doc_id", "spans", *[f"_carry{i}" for i in range(len(carry))])
