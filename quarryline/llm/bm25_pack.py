@@ -1,9 +1,9 @@
 """Packing of documents into token windows, each filled with lexical neighbours of a seed.
 
 Documents are encoded once; how many documents hold each vocabulary id, and the mean length, are
-counted over all of them. They are then laid out by the smallest keyed hash of their different ids,
-so that documents with many ids in common tend to lie together, and cut into shards of bounded
-size. A shard has an inverted index with BM25 weights from the corpus-wide counts. The next unused
+counted over all of them. They are then laid out by several weighted min-hashes of their ids, where
+an id weighs as much as it does in BM25 (an id of one document only has no weight), so that documents
+that share rare ids tend to lie together, and cut into shards of bounded size. A shard has an inverted index with BM25 weights from the corpus-wide counts. The next unused
 document seeds a window; the index ranks the unused documents of the shard by BM25 against all ids
 of the seed, and they fill the window from the best on: first those that fit whole, then the best one
 left is cut to fill it exactly, and its rest seeds the next window. A document longer than a window
@@ -31,46 +31,80 @@ from quarryline.llm.runtime import releasing, stage_table
 
 @dataclass(frozen=True)
 class Windows:
-    """``size`` ids a window; ``shard`` ids an index; BM25's ``k1`` and ``b``."""
+    """``size`` ids a window; ``shard`` ids an index; BM25's ``k1`` and ``b``; ``hashes`` to lay out by, each with its own ``seed``."""
 
     size: int = 4096
     shard: int = 1 << 18
+    hashes: int = 3
+    seed: int = 5
     k1: float = 1.2
     b: float = 0.75
     end_id: int = 2
 
 
+ENCODED = "doc_id long, n long, ids binary, terms array<long>, df array<long>"
+
+
 def encoded(docs: DataFrame, windows: Windows, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, place, n, ids, df): a row per document, and per batch a row with its counts of documents by id in ``df``."""
+    """(doc_id, n, ids, terms, df): a row per document, and per batch a row with its counts of documents by id in ``terms`` and ``df``."""
     file = tokenizer or wordbpe.default_file()
+    names = [c.split()[0] for c in ENCODED.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(batches):
         enc = wordbpe.encoder(file)
         size = enc.tokenizer.get_vocab_size()
-        hashes = (np.arange(size, dtype=np.uint32) * np.uint32(0x85EBCA6B)) ^ np.uint32(0x5BD1E995)
-        hashes = (hashes ^ (hashes >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-        end = np.array([windows.end_id], "<u4").tobytes()
+        width = _width(size)
         seen = np.zeros(size, bool)
         for batch in batches:
             df = np.zeros(size, np.int64)
             for b in wordbpe.slices(batch, 1):
-                ids = [np.frombuffer(x + end, "<u4") for x in enc.encode(wordbpe.text_bytes(b.column(1)))]
-                for x in ids:
-                    if len(x) < 3000:
-                        df[np.unique(x)] += 1
+                flat, sizes = enc.encode(wordbpe.text_bytes(b.column(1)), windows.end_id)
+                ends = np.cumsum(sizes)
+                for a, z in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+                    if z - a < 3000:
+                        df[np.unique(flat[a:z])] += 1
                     else:
-                        seen[x] = True
+                        seen[flat[a:z]] = True
                         df += seen
                         seen[:] = False
-                place = [int(hashes[x].min()) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).cast(pa.int64()), pa.array(place, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u2").tobytes() if size <= 1 << 16 else x.tobytes() for x in ids], pa.binary()), pa.nulls(len(ids), pa.list_(pa.int64())), pa.nulls(len(ids), pa.list_(pa.int64()))],
-                    ["doc_id", "place", "n", "ids", "terms", "df"],
-                )
+                raw = flat.astype(width).tobytes()
+                cuts = pa.array(np.concatenate([[0], ends]) * np.dtype(width).itemsize, pa.int64())
+                ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, cuts.buffers()[1], pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes), ids, pa.nulls(len(sizes), types[3]), pa.nulls(len(sizes), types[4])], names)
             used = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([used.tolist()], pa.list_(pa.int64())), pa.array([df[used].tolist()], pa.list_(pa.int64()))], ["doc_id", "place", "n", "ids", "terms", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([None], [None], [None], [used.tolist()], [df[used].tolist()]), types, strict=True)], names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(releasing(run), ENCODED)
+
+
+def _width(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def _orders(weight: np.ndarray, windows: Windows) -> np.ndarray:
+    """For each hash, the ids' ranks; the smallest rank among a document's ids is its weighted min-hash."""
+    rng = np.random.default_rng(windows.seed)
+    late = rng.exponential(size=(windows.hashes, len(weight))) / np.maximum(weight, 1e-300)
+    return np.argsort(np.argsort(late, axis=1, kind="stable"), axis=1, kind="stable").astype(np.uint32)
+
+
+def laid_out(rows: DataFrame, weight: np.ndarray, windows: Windows, width: str) -> DataFrame:
+    """(doc_id, n, ids) of ``rows`` in ranges of their min-hashes, in order; equal ones by a hash of their ids."""
+    orders = _orders(weight, windows)
+
+    def run(batches):
+        for batch in batches:
+            sizes = batch.column(1).to_numpy()
+            flat = np.frombuffer(b"".join(batch.column(2).to_pylist()), width)
+            starts = np.cumsum(sizes) - sizes
+            places = [pa.array(np.minimum.reduceat(o[flat], starts).astype(np.int64)) for o in orders] if len(sizes) else [pa.array([], pa.int64())] * len(orders)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *places], ["doc_id", "n", "ids", *(f"p{i}" for i in range(len(orders)))])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(releasing(run), "doc_id long, place long, n long, ids binary, terms array<long>, df array<long>")
+    places = [f"p{i}" for i in range(windows.hashes)]
+    placed = rows.select("doc_id", "n", "ids").mapInArrow(releasing(run), "doc_id long, n long, ids binary, " + ", ".join(f"{p} long" for p in places))
+    placed = placed.withColumns({"_h": F.xxhash64("ids"), "_n": F.monotonically_increasing_id()})
+    return placed.repartitionByRange(*places, "_h", "_n").sortWithinPartitions(*places, "_h", "_n").select("doc_id", "ids", "n")
 
 
 class Index:
@@ -148,7 +182,8 @@ def pack(docs: DataFrame, windows: Windows = Windows(), tokenizer: str | None =
     total = rows.where("n IS NOT NULL").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("ids")).first()
     counts = rows.where("terms IS NOT NULL").select(F.inline(F.arrays_zip("terms", "df"))).groupBy("terms").agg(F.sum("df").alias("df"))
     df = {r["terms"]: r["df"] for r in counts.collect()}  # at most one row per vocabulary id
-    size = max(df, default=0) + 1
+    size = wordbpe.encoder(tokenizer or wordbpe.default_file()).tokenizer.get_vocab_size()
+    width = _width(size)
     have = np.zeros(size)
     have[list(df)] = list(df.values())
     idf = np.log(1 + (total["n"] - have + 0.5) / (have + 0.5))
@@ -187,16 +222,14 @@ def pack(docs: DataFrame, windows: Windows = Windows(), tokenizer: str | None =
 
         for batch in batches:
             for doc, raw, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                x = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
-                held.append((x, 0, doc))
-                amount += len(x)
+                held.append((np.frombuffer(raw, width), 0, doc))
+                amount += n
                 if amount >= windows.shard:
                     yield close(False)
         if held:
             yield close(True)
 
-    laid = rows.where("n IS NOT NULL").select("doc_id", "ids", "n", "place", F.xxhash64("ids").alias("_h"), F.monotonically_increasing_id().alias("_n"))
-    laid = laid.repartitionByRange("place", "_h", "_n").sortWithinPartitions("place", "_h", "_n").select("doc_id", "ids", "n")
+    laid = laid_out(rows.where("n IS NOT NULL"), np.where(have >= 2, idf * idf, 0), windows, width)
     return laid.mapInArrow(releasing(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 

@@ -10,7 +10,8 @@ outside the vocabulary by way of byte pieces.
 Parts are worked on side by side in arrays, one agenda step of all of them at a time. The result of
 an agenda without a skip is remembered per part, with its number of steps.
 
-Defined cases: a null or empty text has no pieces; a null doc_id is keyed as zero; repeated rows with
+Defined cases: a null or empty text has no pieces; a very long text is worked on whole, a long part
+with a heap; of equal scores the leftmost merges first; a null doc_id is keyed as zero; repeated rows with
 one doc_id get one segmentation; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import gc
 import heapq
-import re
+import itertools
 import zlib
 
 import numpy as np
@@ -48,7 +49,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class MergeModel:
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 2_000_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -61,6 +62,8 @@ class MergeModel:
         if any(SPACE in p.lstrip(SPACE) for _, p, _ in pieces):
             raise ValueError("a piece crosses the space mark")
         self.size = len(proto.pieces)
+        if self.size > 1 << 16:
+            raise ValueError("more pieces than 16 bits can name")
         self.id = {p: i for i, p, _ in pieces}
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.raw = [b""] * self.size
@@ -68,6 +71,8 @@ class MergeModel:
             self.raw[i] = p.replace(SPACE, " ").encode()
         for b, i in self.byte.items():
             self.raw[i] = bytes([b])
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.raw_begin = np.concatenate([[0], np.cumsum([len(r) for r in self.raw])])
         levels = {s: n for n, s in enumerate(sorted({s for _, _, s in pieces}, reverse=True))}
         self.rank = np.full(self.size, NONE, np.int32)
         for i, _, s in pieces:
@@ -235,98 +240,140 @@ class MergeModel:
         return self._bytes([s for s, k in zip(symbols, size, strict=True) if k]), step
 
     def encode(self, texts: list[str], keys: list[int], seed: int = 0, dropout: float = 0.1) -> list[np.ndarray]:
+        ids, counts, _ = self.encode_flat(texts, keys, seed, dropout)
+        return np.split(ids, np.cumsum(counts)[:-1]) if texts else []
+
+    def encode_flat(self, texts: list[str], keys: list[int], seed: int = 0, dropout: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, how many each has, whether they decode to the very text)."""
         gc.disable()  # the many small objects made here hold no cycles
         try:
             return self._encode(texts, keys, seed, dropout)
         finally:
             gc.enable()
 
-    def _encode(self, texts: list[str], keys: list[int], seed: int, dropout: float) -> list[np.ndarray]:
+    def _encode(self, texts: list[str], keys: list[int], seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         bound = np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
-        mark = (lambda t: SPACE + t) if self.prefix else (lambda t: t)
-        parts: list[str] = []
-        counts = []
-        for t in texts:
-            own = _PARTS.findall(mark(t.replace(" ", SPACE))) if t else []
-            parts += own
-            counts.append(len(own))
+        lead, mark = b" " if self.prefix else b"", SPACE.encode()
+        plain = [t.encode() for t in texts]
+        marked = np.array([mark in t for t in plain], bool)
+        raw = [lead + t.replace(mark, b" ") if t else b"" for t in plain]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        space = data == 32
+        first = space.copy()
+        first[1:] &= ~space[:-1]
+        first[bounds[:-1][sizes > 0]] = True
+        starts = np.flatnonzero(first)
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        parts = np.diff(np.searchsorted(starts, bounds))
         key = _mix(np.array([k & (2**64 - 1) for k in keys], np.uint64) + _mix(np.array([seed & (2**64 - 1)], np.uint64)))
-        sizes = np.array(counts, np.int64)
-        number = np.arange(len(parts)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        base = _mix(np.repeat(key, sizes) + number.astype(np.uint64))
-        spots = self._remember(parts)
-        out = list(map(self.plain.__getitem__, spots))
-        if bound and parts:
-            spot = np.array(spots)
-            for i, ids in zip(*self._varied(parts, spot, np.array(self.steps, np.int32)[spot], base, bound), strict=True):
-                out[i] = ids
-        ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-        return [np.frombuffer(b"".join(out[a:b]), "<u2") for a, b in zip(ends, ends[1:], strict=False)]
+        number = np.arange(len(starts)) - np.repeat(np.cumsum(parts) - parts, parts)
+        base = _mix(np.repeat(key, parts) + number.astype(np.uint64))
+        entry = self._remember(names)[code]
+        if bound and len(starts):
+            self._varied(names, code, entry, base, bound)
+        ids, counts = self._gather(entry)
+        counts = np.diff(np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(parts)])])
+        return ids, counts, self._restores(ids, counts, data, bounds) & ~marked
+
+    def _gather(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the entries one after the other, how many each has)."""
+        begin = self.begin[entry]
+        counts = self.begin[entry + 1] - begin
+        ends = np.cumsum(counts)
+        return self.flat[np.repeat(begin - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)], counts
+
+    def _restores(self, ids: np.ndarray, counts: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Whether each text's ids stand for its bytes."""
+        begin = self.raw_begin[ids]
+        sizes = self.raw_begin[ids.astype(np.int64) + 1] - begin
+        ends = np.cumsum(sizes)
+        made = self.raw_bytes[np.repeat(begin - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        if np.array_equal(cuts, bounds):
+            wrong = np.concatenate([[0], np.cumsum(made != data)])
+            return wrong[bounds[1:]] == wrong[bounds[:-1]]
+        return np.array([np.array_equal(made[a:z], data[c:e]) for a, z, c, e in zip(cuts, cuts[1:], bounds, bounds[1:], strict=False)], bool)
 
     def _forget(self) -> None:
-        self.spot: dict[str, int] = {}
-        self.plain: list[bytes] = []
-        self.steps: list[int] = []
-        self.variant: dict[int, bytes] = {}  # by the place of a part and the bits of its skips
-
-    def _remember(self, parts: list[str]) -> list[int]:
-        """Where each part's agenda without a skip is kept."""
-        spots = list(map(self.spot.get, parts))
+        self.spot: dict[bytes, int] = {}  # entry of each part without a skip
+        self.variant: dict[int, int] = {}  # entry by that of the part and the bits of its skips
+        self.flat, self.begin, self.steps, self.n = np.zeros(1 << 16, np.uint16), np.zeros((1 << 14) + 1, np.int64), np.zeros(1 << 14, np.int32), 0
+
+    def _store(self, made: list[bytes], steps: np.ndarray) -> np.ndarray:
+        """The new entries of segmentations."""
+        ids = np.frombuffer(b"".join(made), "<u2")
+        entries = np.arange(self.n, self.n + len(made))
+        used = int(self.begin[self.n])
+        self.n += len(made)
+        if len(self.steps) < self.n:
+            more = max(len(self.steps), self.n - len(self.steps))
+            self.begin = np.concatenate([self.begin, np.zeros(more, np.int64)])
+            self.steps = np.concatenate([self.steps, np.zeros(more, np.int32)])
+        if len(self.flat) < used + len(ids):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint16)])
+        self.flat[used : used + len(ids)] = ids
+        self.begin[entries + 1] = used + np.cumsum(np.fromiter(map(len, made), np.int64, len(made)) // 2)
+        self.steps[entries] = steps
+        return entries
+
+    def _remember(self, names: list[bytes]) -> np.ndarray:
+        """The entry of each part's agenda without a skip."""
+        if self.n + len(names) > self.limit:
+            self._forget()
+        spots = list(map(self.spot.get, names))
         if None in spots:
-            fresh = list({p for p, s in zip(parts, spots, strict=True) if s is None})
-            if len(self.plain) + len(fresh) > self.limit:
-                self._forget()
-                fresh = list(set(parts))
-            ids, steps = self.agendas(fresh, np.zeros(len(fresh), np.uint64), np.uint64(0))
-            self.spot.update(zip(fresh, range(len(self.plain), len(self.plain) + len(fresh)), strict=True))
-            self.plain += ids
-            self.steps += steps.tolist()
-            spots = list(map(self.spot.__getitem__, parts))
-        return spots
-
-    def _varied(self, parts, spot, steps, base, bound) -> tuple[list[int], list[bytes]]:
-        """The parts in whose agenda something is skipped, and their ids.
+            fresh = [p for p, s in zip(names, spots, strict=True) if s is None]
+            made, steps = self.agendas([_text(p) for p in fresh], np.zeros(len(fresh), np.uint64), np.uint64(0))
+            self.spot.update(zip(fresh, self._store(made, steps).tolist(), strict=True))
+            spots = list(map(self.spot.__getitem__, names))
+        return np.array(spots, np.int64)
+
+    def _varied(self, names: list[bytes], code: np.ndarray, entry: np.ndarray, base: np.ndarray, bound: np.uint64) -> None:
+        """Put the right entry where something is skipped in a part's agenda.
 
         What a part becomes depends on the skips among its steps only; results whose agenda is at most one
         step longer than the plain one are remembered by part and skips.
         """
-        skips, left = np.zeros(len(parts), np.int64), np.flatnonzero(steps > 0)
+        steps = self.steps[entry]
+        skips, left = np.zeros(len(entry), np.int64), np.flatnonzero(steps > 0)
         for n in range(min(31, int(steps.max(initial=0)) + 1)):
             left = left[steps[left] >= n]
             hit = left[self._skips(base[left], np.full(len(left), n), bound)]
             skips[hit] |= 1 << n
         wide = steps > 30
         rows = np.flatnonzero(wide | ((skips & ((1 << np.minimum(steps, 30).astype(np.int64)) - 1)) > 0))
-        keys = np.where(wide[rows], -1, spot[rows] << 31 | skips[rows])
-        ids = list(map(self.variant.get, keys.tolist()))
-        new = np.array([i for i, x in enumerate(ids) if x is None], np.int64)
+        own = rows[wide[rows]]
+        rows = rows[~wide[rows]]
+        keys, one, back = np.unique(entry[rows] << 31 | skips[rows], return_index=True, return_inverse=True)
+        found = np.fromiter(map(self.variant.get, keys.tolist(), itertools.repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(found < 0)
         if len(new):
-            _, first = np.unique(keys[new], return_index=True)
-            first = np.union1d(new[first], new[keys[new] < 0])
-            made, taken = self.agendas([parts[i] for i in rows[first].tolist()], base[rows[first]], bound)
-            if len(self.variant) + len(made) > self.limit:
-                self.variant = {}
-            kept = {}
-            for i, x, n, most, k in zip(first.tolist(), made, taken.tolist(), steps[rows[first]].tolist(), keys[first].tolist(), strict=True):
-                ids[i] = x
-                if k >= 0 and n <= most + 1:
-                    kept[k] = x
-            self.variant.update(kept)
-            own = [i for i in new.tolist() if ids[i] is None and keys[i] not in kept]
-            made, _ = self.agendas([parts[i] for i in rows[own].tolist()], base[rows[own]], bound)
-            for i, x in zip(own, made, strict=True):
-                ids[i] = x
-            for i in new.tolist():
-                if ids[i] is None:
-                    ids[i] = kept[keys[i]]
-        return rows.tolist(), ids
+            which = rows[one[new]]
+            made, taken = self.agendas([_text(names[c]) for c in code[which].tolist()], base[which], bound)
+            found[new] = self._store(made, taken)
+            short = taken <= steps[which] + 1
+            self.variant.update(zip(keys[new[short]].tolist(), found[new[short]].tolist(), strict=True))
+            loose = np.zeros(len(keys), bool)
+            loose[new[~short]] = True
+            again = loose[back]
+            again[one[new]] = False  # these are the very rows that were worked out
+            own = np.concatenate([own, rows[again]])
+        entry[rows] = found[back]
+        if len(own):
+            made, taken = self.agendas([_text(names[c]) for c in code[own].tolist()], base[own], bound)
+            entry[own] = self._store(made, taken)
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids.tolist()))
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode()
 
 
-_PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+def _text(part: bytes) -> str:
+    return part.decode().replace(" ", SPACE)
 
 
 def model(path: str) -> MergeModel:
@@ -349,10 +396,12 @@ def encode(docs: DataFrame, seed: int = 17, dropout: float = 0.1, path: str | No
             for b in wordbpe.slices(batch, 1, 4 << 20):
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 docs = b.column(0).to_pylist()
-                ids = m.encode(texts, [d or 0 for d in docs], seed, dropout)
-                columns = [pa.array(docs, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64()), pa.array([m.decode(x) == t for x, t in zip(ids, texts, strict=True)])]
+                flat, counts, lossless = m.encode_flat(texts, [d or 0 for d in docs], seed, dropout)
+                ends, wide = np.cumsum(counts), flat.astype("<u4")
+                cuts = list(zip((ends - counts).tolist(), ends.tolist(), strict=True))
+                columns = [pa.array(docs, pa.int64()), pa.array(counts), pa.array([zlib.crc32(wide[a:z]) for a, z in cuts], pa.int64()), pa.array(lossless)]
                 if with_ids:
-                    columns.append(pa.array([x.tobytes() for x in ids], pa.binary()))
+                    columns.append(pa.array([flat[a:z].tobytes() for a, z in cuts], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "ids_crc32", "lossless", "ids"][: len(columns)])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, schema)

@@ -1,17 +1,20 @@
 """Token files with Re-Pair grammars.
 
 Documents are encoded in ascending doc_id order and cut into shards of bounded size. In every shard
-frequent adjacent id pairs are replaced by new symbols, in rounds: a round counts all pairs, takes
+frequent adjacent id pairs are replaced by new symbols, in rounds: a round counts the pairs, takes
 those that occur often enough, most frequent first, and replaces them where they don't overlap a
-more frequent one; the next round works on the result. Pairs never cross documents. A shard holds
-its rules, the expansion length of every symbol and, for each document, its first symbol and first
-id, so any document or id range is decoded without touching the rest.
+more frequent one; the next round works on the result, until no pair is frequent or no symbol is
+free. A pair without a new symbol only gets rarer, so later rounds count the pairs with new symbols
+and those that were frequent and had to wait. Pairs never cross documents. A shard holds its rules,
+the expansion length of every symbol and, for each document, its first symbol and first id, so any
+document or id range is decoded without touching the rest.
 
 Shards are rows of a Parquet table: Spark commits them atomically and redoes lost tasks.
 
-Defined cases: a null or empty text is the end id alone; null doc_ids come first; rows with one
-doc_id are in the order of their texts' hashes; an empty table gives an empty store; further
-columns are ignored.
+Defined cases: a null or empty text is the end id alone; a very long text may make its shard longer
+than the bound; null doc_ids come first; rows with one doc_id are in the order of their texts'
+hashes, and of their places in the table where these are equal; an empty table gives an empty store;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,63 +38,88 @@ SCHEMA = "part long, shard long, n_docs long, n_tokens long, payload binary"
 
 @dataclass(frozen=True)
 class Grammar:
-    """``rounds`` of replacing pairs seen at least ``least`` times; symbols stay below ``symbols``; a shard closes at ``shard_tokens``."""
+    """Pairs seen at least ``least`` times are replaced; a shard's symbols stay below ``symbols`` (or the vocabulary's size); a shard closes at ``shard_tokens``."""
 
-    rounds: int = 3
     least: int = 16
     symbols: int = 1 << 16
     shard_tokens: int = 1 << 20
 
 
+def _apart(spot: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending places with their pairs' ranks, those to replace: no two side by side, better ranks first, every other place of a run of one pair."""
+    run = np.concatenate([[True], (spot[1:] != spot[:-1] + 1) | (rank[1:] != rank[:-1])])
+    offset = np.arange(len(spot)) - np.maximum.accumulate(np.where(run, np.arange(len(spot)), 0))
+    spot, rank = spot[offset % 2 == 0], rank[offset % 2 == 0]
+    spots, ranks = [spot[:0]], [rank[:0]]
+    while len(spot):
+        beside = spot[1:] == spot[:-1] + 1
+        worse = np.zeros(len(spot), bool)
+        worse[1:] |= beside & (rank[1:] >= rank[:-1])
+        worse[:-1] |= beside & (rank[:-1] > rank[1:])
+        spots.append(spot[~worse])
+        ranks.append(rank[~worse])
+        open_ = worse.copy()
+        open_[1:] &= ~(beside & ~worse[:-1])
+        open_[:-1] &= ~(beside & ~worse[1:])
+        spot, rank = spot[open_], rank[open_]
+    return np.concatenate(spots), np.concatenate(ranks)
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, grammar: Grammar = Grammar()) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
-    """(symbols, last-symbol flags, rules of each round as (first symbol, pairs)) of ``ids`` below ``base``."""
-    x, last, rules, following = ids.astype(np.uint32), ends.copy(), [], base
-    for turn in range(grammar.rounds):
-        room = grammar.symbols - following
-        if len(x) < 2 or room <= 0:
-            break
-        keys = (x[:-1] << np.uint32(16)) | x[1:]
-        free = ~last[:-1]
-        ranked = np.sort(keys[free])
-        if not len(ranked):
-            break
+    """(symbols, last-symbol flags, rules of each round as (first symbol, pairs)) of ``ids`` below ``base``.
+
+    A pair is left << 16 | right, or left << 32 | right where symbols don't fit 16 bits.
+    """
+    narrow = max(base, grammar.symbols) <= 1 << 16
+    kind, half, spare, odd = (np.uint32, 16, 12, 0x9E3779B1) if narrow else (np.uint64, 32, 44, 0x9E3779B97F4A7C15)
+    x, last, rules, following = ids.astype(kind), ends.copy(), [], base
+    slot = lambda k: ((k * kind(odd)) >> kind(spare)).astype(np.int64)
+    at = np.flatnonzero(~last[:-1])
+    while len(at) and following < grammar.symbols:
+        keys = (x[at] << kind(half)) | x[at + 1]
+        ranked = np.sort(keys)
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         counts = np.diff(np.append(first, len(ranked)))
         often = counts >= grammar.least
         pairs, counts = ranked[first[often]], counts[often]
         if not len(pairs):
             break
-        # a slot belongs to its most frequent pair; another pair with that slot waits for the next round
-        pairs = pairs[np.lexsort((pairs, -counts))[: max(1, room // (grammar.rounds - turn))]]
-        slot = lambda k: (k * np.uint32(0x9E3779B1)) >> np.uint32(12)
+        slots = slot(keys)
+        open_ = np.zeros(1 << 20, bool)
+        open_[slot(pairs)] = True
+        waits = open_[slots]
+        # half of the free symbols a round; of pairs with one slot the most frequent has it, the others wait
+        pairs = pairs[np.lexsort((slot(pairs), -counts))[: (grammar.symbols - following + 1) // 2]]
         owner = np.full(1 << 20, -1, np.int32)
         owner[slot(pairs[::-1])] = np.arange(len(pairs), dtype=np.int32)[::-1]
         pairs = pairs[owner[slot(pairs)] == np.arange(len(pairs))]
         owner[slot(pairs)] = np.arange(len(pairs), dtype=np.int32)
-        rank = owner[slot(keys)]
-        some = np.flatnonzero((rank >= 0) & free)
-        r = rank[some]
-        hit = pairs[r] == keys[some]
-        some, r = some[hit], r[hit]
-        beside = some[1:] == some[:-1] + 1
-        worse = np.zeros(len(some), bool)
-        worse[1:] |= beside & (r[1:] >= r[:-1])
-        worse[:-1] |= beside & (r[:-1] > r[1:])
-        at, r = some[~worse], r[~worse]
-        if not len(at):
-            break
+        rank = owner[slots]
+        some = np.flatnonzero(rank >= 0)
+        some = some[pairs[rank[some]] == keys[some]]
+        spot, r = at[some], rank[some]
+        spot, r = _apart(spot, r)
         keep = np.ones(len(x), bool)
-        keep[at + 1] = False
-        y = x.copy()
-        y[at] = following + r.astype(np.uint32)
-        flags = last.copy()
-        flags[at] = last[at + 1]
+        keep[spot + 1] = False
+        fresh = np.zeros(len(x), bool)
+        fresh[spot] = True
+        fresh[at[waits]] |= True
+        x[spot] = following + r.astype(kind)
+        last[spot] = last[spot + 1]
         rules.append((following, pairs))
         following += len(pairs)
-        x, last = y[keep], flags[keep]
+        new = np.zeros(len(x), bool)
+        new[spot] = True
+        x, last, fresh, new = x[keep], last[keep], fresh[keep], new[keep]
+        at = np.flatnonzero((fresh[:-1] | new[1:]) & ~last[:-1])
     return x, last, rules
 
 
+def _sides(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    half = 4 * pairs.itemsize
+    return pairs >> pairs.dtype.type(half), pairs & pairs.dtype.type((1 << half) - 1)
+
+
 def expansions(base: int, rules: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """(where each symbol's expansion begins, all expansions): a table by which symbols become ids in one step."""
     sizes = np.concatenate([np.ones(base, np.int64), expansion_lengths(base, rules).astype(np.int64)])
@@ -99,8 +127,7 @@ def expansions(base: int, rules: list[tuple[int, np.ndarray]]) -> tuple[np.ndarr
     table = np.empty(int(begin[-1]), np.uint32)
     table[:base] = np.arange(base)
     for first, pairs in rules:
-        left, right = pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)
-        both = np.stack([left, right], axis=1).ravel()
+        both = np.stack(_sides(pairs), axis=1).ravel()
         table[begin[first] : begin[first + len(pairs)]] = _spread(both, begin, table)
     return begin, table
 
@@ -115,21 +142,28 @@ def expansion_lengths(base: int, rules: list[tuple[int, np.ndarray]]) -> np.ndar
     """Ids that each symbol from ``base`` on stands for."""
     out = np.ones(base + sum(len(p) for _, p in rules), np.uint32)
     for first, pairs in rules:
-        out[first : first + len(pairs)] = out[pairs >> np.uint32(16)] + out[pairs & np.uint32(0xFFFF)]
+        left, right = _sides(pairs)
+        out[first : first + len(pairs)] = out[left] + out[right]
     return out[base:]
 
 
+def _widths(base: int, grammar_symbols: int) -> tuple[str, str]:
+    """How symbols and pairs are stored."""
+    return ("<u2", "<u4") if max(base, grammar_symbols) <= 1 << 16 else ("<u4", "<u8")
+
+
 def pack(doc_ids: list, ids: np.ndarray, sizes: np.ndarray, base: int, grammar: Grammar) -> bytes:
     """A shard's bytes: MAGIC, counts, then doc ids and their null flags, rules, expansion lengths, first symbols, first ids, symbols."""
     ends = np.zeros(len(ids), bool)
     ends[np.cumsum(sizes) - 1] = True
     symbols, last, rules = compress(ids, ends, base, grammar)
     first = np.concatenate([[0], np.flatnonzero(last) + 1]).astype("<u8")
-    head = MAGIC + struct.pack("<IIIQ", base, len(rules), len(sizes), len(symbols)) + b"".join(struct.pack("<II", f, len(p)) for f, p in rules)
+    narrow, wide = _widths(base, grammar.symbols)
+    head = MAGIC + struct.pack("<IIIIQ", base, grammar.symbols, len(rules), len(sizes), len(symbols)) + b"".join(struct.pack("<II", f, len(p)) for f, p in rules)
     known = np.array([d is not None for d in doc_ids], np.uint8)
     numbers = np.array([d or 0 for d in doc_ids], "<i8")
     starts = np.concatenate([[0], np.cumsum(sizes)]).astype("<u8")
-    body = [numbers, known, *[p.astype("<u4") for _, p in rules], expansion_lengths(base, rules).astype("<u4"), first, starts, symbols.astype("<u2")]
+    body = [numbers, known, *[p.astype(wide) for _, p in rules], expansion_lengths(base, rules).astype("<u4"), first, starts, symbols.astype(narrow)]
     return head + b"".join(a.tobytes() for a in body)
 
 
@@ -139,8 +173,9 @@ class Shard:
     def __init__(self, payload: bytes):
         if payload[:4] != MAGIC:
             raise ValueError("not a token shard")
-        self.base, n_rules, n, m = struct.unpack_from("<IIIQ", payload, 4)
-        at = 24
+        self.base, most, n_rules, n, m = struct.unpack_from("<IIIIQ", payload, 4)
+        at = 28
+        narrow, wide = _widths(self.base, most)
         heads = [struct.unpack_from("<II", payload, at + 8 * i) for i in range(n_rules)]
         at += 8 * n_rules
 
@@ -152,10 +187,10 @@ class Shard:
 
         numbers, known = take("<i8", n), take("u1", n)
         self.doc_ids = [int(d) if k else None for d, k in zip(numbers, known, strict=True)]
-        self.rules = [(f, take("<u4", c)) for f, c in heads]
+        self.rules = [(f, take(wide, c)) for f, c in heads]
         self.lengths = take("<u4", sum(c for _, c in heads))
         self.begin, self.table = expansions(self.base, self.rules)
-        self.first, self.starts, self.symbols = take("<u8", n + 1), take("<u8", n + 1), take("<u2", m)
+        self.first, self.starts, self.symbols = take("<u8", n + 1), take("<u8", n + 1), take(narrow, m)
 
     def document(self, i: int) -> np.ndarray:
         return _spread(self.symbols[self.first[i] : self.first[i + 1]], self.begin, self.table)
@@ -183,26 +218,29 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     def run(batches):
         enc, part, shard = wordbpe.encoder(file), TaskContext.get().partitionId(), 0
         base = enc.tokenizer.get_vocab_size()
-        end = np.array([end_id], "<u4").tobytes()
-        held_docs, held = [], []
+        held: list[tuple] = []  # doc_ids, ids, sizes
+        total = 0
 
         def close():
-            nonlocal held_docs, held, shard
-            ids = np.frombuffer(b"".join(held), "<u4")
-            payload = pack(held_docs, ids, np.array([len(h) // 4 for h in held]), base, grammar)
-            row = pa.RecordBatch.from_arrays([pa.array([part]), pa.array([shard]), pa.array([len(held)]), pa.array([len(ids)]), pa.array([payload], pa.binary())], ["part", "shard", "n_docs", "n_tokens", "payload"])
-            held_docs, held, shard = [], [], shard + 1
+            nonlocal held, shard, total
+            docs = [d for names, _, _ in held for d in names]
+            ids, sizes = np.concatenate([x for _, x, _ in held]), np.concatenate([n for _, _, n in held])
+            payload = pack(docs, ids, sizes, base, grammar)
+            row = pa.RecordBatch.from_arrays([pa.array([part]), pa.array([shard]), pa.array([len(docs)]), pa.array([len(ids)]), pa.array([payload], pa.binary())], ["part", "shard", "n_docs", "n_tokens", "payload"])
+            held, shard, total = [], shard + 1, 0
             return row
 
-        total = 0
         for batch in batches:
             for piece in wordbpe.slices(batch, 1):
-                for doc, ids in zip(piece.column(0).to_pylist(), enc.encode(wordbpe.text_bytes(piece.column(1))), strict=True):
-                    held_docs.append(doc)
-                    held.append(ids + end)
-                    total += len(ids) // 4 + 1
+                names = piece.column(0).to_pylist()
+                ids, sizes = enc.encode(wordbpe.text_bytes(piece.column(1)), end_id)
+                ends, a, before = np.cumsum(sizes), 0, 0
+                while a < len(names):
+                    z = min(len(names), int(np.searchsorted(ends, before + grammar.shard_tokens - total)) + 1)
+                    held.append((names[a:z], ids[before : ends[z - 1]], sizes[a:z]))
+                    total += int(ends[z - 1]) - before
+                    a, before = z, int(ends[z - 1])
                     if total >= grammar.shard_tokens:
-                        total = 0
                         yield close()
         if held:
             yield close()
