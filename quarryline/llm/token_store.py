@@ -47,9 +47,12 @@ class Grammar:
 
 def _apart(spot: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of ascending places with their pairs' ranks, those to replace: no two side by side, better ranks first, every other place of a run of one pair."""
-    run = np.concatenate([[True], (spot[1:] != spot[:-1] + 1) | (rank[1:] != rank[:-1])])
-    offset = np.arange(len(spot)) - np.maximum.accumulate(np.where(run, np.arange(len(spot)), 0))
-    spot, rank = spot[offset % 2 == 0], rank[offset % 2 == 0]
+    again = np.flatnonzero((spot[1:] == spot[:-1] + 1) & (rank[1:] == rank[:-1])) + 1
+    if len(again):
+        run = np.arange(len(again)) - np.maximum.accumulate(np.where(np.diff(again, prepend=-1) != 1, np.arange(len(again)), 0))
+        every = np.ones(len(spot), bool)
+        every[again[run % 2 == 0]] = False
+        spot, rank = spot[every], rank[every]
     spots, ranks = [spot[:0]], [rank[:0]]
     while len(spot):
         beside = spot[1:] == spot[:-1] + 1
@@ -72,9 +75,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, grammar: Grammar = Gr
     """
     narrow = max(base, grammar.symbols) <= 1 << 16
     kind, half, spare, odd = (np.uint32, 16, 12, 0x9E3779B1) if narrow else (np.uint64, 32, 44, 0x9E3779B97F4A7C15)
-    x, last, rules, following = ids.astype(kind), ends.copy(), [], base
+    # marks: 1 the last symbol of a document, 2 a frequent pair that may still wait, 4 a new symbol
+    x, mark, rules, following = ids.astype(kind), ends.astype(np.uint8), [], base
     slot = lambda k: ((k * kind(odd)) >> kind(spare)).astype(np.int64)
-    at = np.flatnonzero(~last[:-1])
+    at = np.flatnonzero(mark[:-1] == 0)
     while len(at) and following < grammar.symbols:
         keys = (x[at] << kind(half)) | x[at + 1]
         ranked = np.sort(keys)
@@ -101,18 +105,15 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, grammar: Grammar = Gr
         spot, r = _apart(spot, r)
         keep = np.ones(len(x), bool)
         keep[spot + 1] = False
-        fresh = np.zeros(len(x), bool)
-        fresh[spot] = True
-        fresh[at[waits]] |= True
         x[spot] = following + r.astype(kind)
-        last[spot] = last[spot + 1]
+        mark[spot] = (mark[spot + 1] & 1) | 4
+        mark[at[waits]] |= 2
         rules.append((following, pairs))
         following += len(pairs)
-        new = np.zeros(len(x), bool)
-        new[spot] = True
-        x, last, fresh, new = x[keep], last[keep], fresh[keep], new[keep]
-        at = np.flatnonzero((fresh[:-1] | new[1:]) & ~last[:-1])
-    return x, last, rules
+        x, mark = x[keep], mark[keep]
+        at = np.flatnonzero(((mark[:-1] > 1) | (mark[1:] > 3)) & (mark[:-1] & 1 == 0))
+        mark &= 1
+    return x, mark > 0, rules
 
 
 def _sides(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

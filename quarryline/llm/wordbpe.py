@@ -24,7 +24,7 @@ def default_file() -> str:
 WHITE, LETTER, MARK, DIGIT, OTHER = range(5)
 
 
-def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _classes() -> tuple[bytes, bytes, np.ndarray]:
     """(class of each byte, lower case of each byte, whether a byte after C3 makes a letter of Latin-1)."""
     kind, lower = np.full(256, OTHER, np.uint8), np.arange(256, dtype=np.uint8)
     kind[list(b" \t\n\r\x0b\x0c")] = WHITE
@@ -36,7 +36,7 @@ def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     latin = np.zeros(256, bool)
     latin[0x80:0xC0] = True
     latin[[0x97, 0xB7]] = False
-    return kind, lower, latin
+    return kind.tobytes(), lower.tobytes(), latin
 
 
 _KIND, _LOWER, _LATIN = _classes()
@@ -48,8 +48,8 @@ def cut(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     A part is a run of letters, a run of marks or a digit, or a whole word that holds any other character;
     such a word keeps its case.
     """
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    kind, low = _KIND[data], _LOWER[data]
+    raw = b" ".join([*texts, b""])
+    data, kind, low = (np.frombuffer(x, np.uint8) for x in (raw, bytearray(raw.translate(_KIND)), bytearray(raw.translate(_LOWER))))
     lead = np.flatnonzero(data[:-1] == 0xC3)
     lead = lead[_LATIN[data[lead + 1]]]
     kind[lead], kind[lead + 1] = LETTER, LETTER
@@ -62,13 +62,15 @@ def cut(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
         sizes = end - begin
         whole = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
         kind[whole], low[whole] = OTHER, data[whole]
-    first = kind != WHITE
-    solid = first.copy()
+    solid = kind != WHITE
+    first = solid.copy()
     first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
-    offsets = np.append(np.flatnonzero(first[solid]), np.count_nonzero(solid)).astype(np.int32)
+    at = np.flatnonzero(first)
+    before = np.cumsum(solid, dtype=np.int32)  # the first byte of a part counts itself
+    offsets = np.append(before[at] - 1, before[-1]).astype(np.int32)
     parts = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(low[solid])])
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    return parts, np.searchsorted(np.flatnonzero(first), np.concatenate([[0], np.cumsum(sizes)]))
+    return parts, np.searchsorted(at, np.concatenate([[0], np.cumsum(sizes)]))
 
 
 class WordEncoder:
@@ -88,6 +90,9 @@ class WordEncoder:
         first = steps[0] if steps else {}
         suffix = spec["model"].get("end_of_word_suffix") or ""
         self.by_part = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and first.get("pattern", {}).get("Regex") == _SPLIT and bool(suffix)
+        # for parts, which are in lower case and cut already
+        cuts = [{"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        self.of_parts = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": cuts}})) if self.by_part else None
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
@@ -102,9 +107,10 @@ class WordEncoder:
         odd = re.compile(rb"[\x00-\x08\x0e-\x1f'<\x7f-\xff]")
         latin = re.compile(rb"(?:[\x20-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*")
         plain = [p for p in missing if not odd.search(p) or (latin.fullmatch(p) and b"'" not in p and b"<" not in p)]
-        for k in range(0, len(plain), 4000):
-            some = plain[k : k + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        for k in range(0, len(plain), 6400):
+            some = plain[k : k + 6400]
+            found = self.of_parts.encode_batch_fast([b" ".join(some[i : i + 64]).decode() for i in range(0, len(some), 64)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
             sizes = np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
             if len(sizes) != len(some):
                 raise ValueError("a part without a marked end")
@@ -141,6 +147,8 @@ class WordEncoder:
         if not self.by_part:
             found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
             return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
+        if not texts:
+            return self.ids[:0], np.zeros(0, np.int64)
         parts, firsts = cut(texts)
         coded = parts.dictionary_encode()
         names = coded.dictionary.to_pylist()
