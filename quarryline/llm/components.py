@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.runtime import stage_table
+from quarryline.llm.runtime import discard, stage_table
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -26,8 +26,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         large = stage_table(large, "edges")
+        discard(current)
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(least.select("hi", "m")).distinct()
         current = stage_table(small, "edges")
+        discard(large)
     roots = current.select(F.col("lo").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return current.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(roots)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.components import components
-from quarryline.llm.runtime import releasing, stage_table
+from quarryline.llm.runtime import discard, releasing, scratch, stage_table
 
 
 @dataclass(frozen=True)
@@ -228,15 +228,18 @@ def near_vectors(rows: DataFrame, rule: Lattice = Lattice()) -> DataFrame:
     sound = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(x, lambda c: c != 0)
     vector = F.when(F.coalesce(sound, F.lit(False)), F.transform(x, lambda c: c.cast("double") + 0.0))
     base = rows.select(F.col("vec_id"), vector.alias("vector")).withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")))
-    classes = stage_table(base.where("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"), F.min("vector").alias("vector")), "lattice-classes")
-    pairs = stage_table(candidates(_listed(classes, rule), rule), "lattice-pairs")
-    links = stage_table(verified(pairs, classes, rule.threshold), "lattice-links")
-    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(classes.select(F.col("node").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("linked")).withColumnRenamed("a", "node")
-    roots = components(links)
-    info = classes.join(others, "node", "left").join(roots, "node", "left").select("node", "n", "first", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("root", "node").alias("root"))
-    info = stage_table(info, "lattice-info")
-    info = stage_table(info.join(info.groupBy("root").agg(F.min("first").alias("component")), "root").select("node", "n", "linked", "component"), "lattice-info")
+    with scratch(rows.sparkSession) as keep:
+        classes = stage_table(base.where("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"), F.min("vector").alias("vector")), "lattice-classes")
+        pairs = stage_table(candidates(_listed(classes, rule), rule), "lattice-pairs")
+        links = stage_table(verified(pairs, classes, rule.threshold), "lattice-links")
+        discard(pairs)
+        both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        others = both.join(classes.select(F.col("node").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("linked")).withColumnRenamed("a", "node")
+        roots = components(links)
+        info = classes.join(others, "node", "left").join(roots, "node", "left").select("node", "n", "first", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("root", "node").alias("root"))
+        info = stage_table(info, "lattice-info")
+        info = stage_table(info.join(info.groupBy("root").agg(F.min("first").alias("component")), "root").select("node", "n", "linked", "component"), "lattice-info")
+        keep(info)
     out = base.select("vec_id", "node").join(info, "node", "left")
     component = F.when(F.col("n").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     return out.select("vec_id", F.coalesce(F.col("n") - 1 + F.col("linked"), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -6,19 +6,25 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_TABLES: list[str] = []  # paths of stage tables not yet deleted, in the order in which they were made
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from spark.checkpoint.dir.
 
-    Only where the session leaves it unset (tests on one machine) a local folder is used.
+    Only where the session leaves it unset and runs on one machine (as in tests) a local folder is used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quarryline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -32,7 +38,34 @@ def stage_table(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/stage/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _TABLES.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stage tables that nothing will read again."""
+    for t in tables:
+        _delete(t.sparkSession, t.stage_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if path in _TABLES:
+        _TABLES.remove(path)
+    jvm = getattr(spark, "_jvm", None)  # a client without a JVM of its own leaves the files to whoever clears the folder
+    if jvm is not None:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete the stage tables made inside when it ends, but for those given to what it yields."""
+    before, kept = set(_TABLES), set()
+    yield lambda table: kept.add(table.stage_path)
+    for path in [p for p in _TABLES if p not in before and p not in kept]:
+        _delete(spark, path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,30 +1,38 @@
-"""Near-duplicates by the Jaccard similarity of their sets of five-word shingles.
+"""Near-duplicates by the similarity of their sets of five-word shingles: SimHash links, completed to Jaccard 0.8.
 
-Each different shingle set is sketched by ``BANDS`` keys of ``ROWS`` min-hashes; two sets of
-similarity s share a key with chance 1 - (1 - s^ROWS)^BANDS, 0.99993 at 0.8. What shares a key is a
-candidate, and the exact similarity of the texts decides. Of each key all sets are first compared
-with the smallest one; only those that these links leave in different groups are then compared with
-each other, whatever their number, so no candidate pair that could join two groups is left out.
+First come the links of operator 9: 64-bit SimHash fingerprints of the sets within two bits, found by
+pigeonring filtering. At Jaccard 0.8 two fingerprints differ in ten bits on average and up to 16 now
+and then, a distance at which a pigeonring forces no segment to be equal and selects nothing. So the
+pairs beyond two bits are looked up by ``BANDS`` keys of ``ROWS`` min-hashes: two sets of similarity s
+share a key with chance 1 - (1 - s^ROWS)^BANDS, 0.99993 at 0.8. For every candidate of either kind the
+exact similarity of the texts decides.
+
+Under each key all sets are first compared with one of them, chosen by hash, and those that are still
+apart with another one; only sets that these links leave in different groups are then compared with
+each other, if enough of their min-hashes agree (a pair at 0.8 fails that with chance 1e-6).
 
 Defined cases: words are those of the SimHash contract; a text of at most five words is one shingle;
-null and empty texts have the empty set and are alike; equal sets, told by 64-bit hashes, are one
-node; an empty table gives an empty result; further columns are kept.
+null and empty texts have the empty set and are alike; very long texts are taken whole; equal sets,
+told by 64-bit hashes, are one node; of equal doc_ids the row written first stays; an empty table
+gives an empty result; further columns are kept.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm import wordbpe
+from quarryline.llm import simhash, wordbpe
 from quarryline.llm.components import components
-from quarryline.llm.runtime import releasing, stage_table
+from quarryline.llm.runtime import discard, releasing, scratch, stage_table
 
 WIDTH = 5
 SIMILAR = (4, 5)  # numerator and denominator of the least similarity
 ROWS, BANDS = 5, 24
+#: Of the ROWS * BANDS min-hashes, how many must agree for an exact comparison: the mean at 0.8 less 4.8 deviations.
+AGREE = 75
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -47,12 +55,17 @@ def _functions() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**63, (ROWS * BANDS, 1), dtype=np.uint64), rng.integers(0, 2**63, (ROWS * BANDS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def keys(hashes: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The set's key in each band."""
+def minima(hashes: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The set's min-hash by each function."""
     flip, times = functions
     low = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(hashes), 512):
         low = np.minimum(low, ((hashes[a : a + 512] ^ flip) * times).min(axis=1))
+    return low
+
+
+def keys(low: np.ndarray) -> np.ndarray:
+    """The key in each band of a set with the min-hashes ``low``."""
     out = np.arange(BANDS, dtype=np.uint64)
     for column in low.reshape(BANDS, ROWS).T:
         out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
@@ -61,7 +74,7 @@ def keys(hashes: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.nda
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, same, size, keys) of each row of ``rows`` (row, doc_id, text): hash of the shingle set, its size and keys."""
+    """A row per row of ``rows`` (row, doc_id, text): hash (same), size and fingerprint of its shingle set, its keys, and a byte of each min-hash, eight to a number."""
 
     def run(batches):
         import xxhash
@@ -71,17 +84,30 @@ def sketches(rows: DataFrame) -> DataFrame:
             for b in wordbpe.slices(batch, 2):
                 sets = [shingles(t) for t in wordbpe.text_bytes(b.column(2))]
                 same = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                size = pa.array([len(s) for s in sets], pa.int64())
-                every = np.concatenate([keys(s, functions) for s in sets]) if sets else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(every))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same), size, lists], ["row", "doc_id", "same", "size", "keys"])
+                prints = np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)
+                lows = [minima(s, functions) for s in sets]
+                lists = []
+                for width, values in ((BANDS, [keys(x) for x in lows]), (ROWS * BANDS // 8, [((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).view(np.int64) for x in lows])):
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * width), pa.array(np.concatenate([np.zeros(0, np.int64), *values]))))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints), *lists], ["row", "doc_id", "same", "size", "fp", "keys", "bytes"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("row", "doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(releasing(run), f"row long, doc_id {kind}, same long, size long, keys array<long>")
+    return rows.select("row", "doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(releasing(run), f"row long, doc_id {kind}, same long, size long, fp long, keys array<long>, bytes array<long>")
+
+
+def agreeing(a: Column, b: Column) -> Column:
+    """How many bytes of two arrays of numbers are equal."""
+    total = F.lit(ROWS * BANDS)
+    for i in range(ROWS * BANDS // 8):
+        x = a[i].bitwiseXOR(b[i])
+        for shift, kept in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(kept))
+        total = total - F.bit_count(x)
+    return total
 
 
 def similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b), a stored table of row numbers, whose texts in ``rows`` (row, text) are similar."""
+    """Those of ``pairs`` (a, b), a stored table of row numbers, whose texts in ``rows`` (row, text) are similar; also a stored table."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     held = stage_table(rows.select("row", F.coalesce("text", F.lit("")).alias("text")).join(nodes, "row", "left_semi"), "near-texts")
     both = pairs.join(held.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
@@ -99,37 +125,67 @@ def similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                 close.append(common * below >= above * (len(own) + len(other) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(close, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(releasing(run), "a long, b long")
+    found = stage_table(both.select("a", "b", "text_a", "text_b").mapInArrow(releasing(run), "a long, b long"), "near-links")
+    discard(held, pairs)
+    return found
+
+
+def _fits(x: str, y: str) -> Column:
+    """Whether sets of these sizes can be similar."""
+    above, below = SIMILAR
+    return F.least(x, y) * below >= F.greatest(x, y) * above
+
+
+def _with_leads(keyed: DataFrame, turn: int) -> DataFrame:
+    """(a, b) of every set of ``keyed`` (key, node, size, root) with the one that leads its key this turn, if they are in different groups."""
+    lead = F.min(F.struct(F.xxhash64("key", "node", F.lit(turn)).alias("h"), "node", "size", "root")).alias("lead")
+    leads = keyed.groupBy("key").agg(lead, F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key", "lead")
+    return keyed.join(leads, "key").where((F.col("root") != F.col("lead.root")) & _fits("size", "lead.size")).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+
+
+def _fingerprint_links(sets: DataFrame) -> DataFrame:
+    """(a, b) of sets that operator 9 links: those of one fingerprint in a star, and the heads of linked fingerprints."""
+    heads = stage_table(sets.groupBy("fp").agg(F.min("node").alias("head")), "near-heads")
+    stars = sets.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    linked = simhash.links(heads.select("fp")).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    of = lambda side: heads.select(F.col("fp").alias(f"f{side}"), F.col("head").alias(side))
+    across = linked.join(of("a"), "fa").join(of("b"), "fb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return stars.unionAll(across)
 
 
 def near(sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, root) of the groups that similar ``sets`` (node, size, keys) make; node is the number in ``rows`` (row, text) of a text with the set."""
-    keyed = sets.select("node", "size", F.explode("keys").alias("key"))
-    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("lead")).where("n > 1").select("key", "lead")
+    """(node, root) of the groups that similar ``sets`` (node, size, fp, keys, bytes) make; node is the number in ``rows`` (row, text) of a text with the set."""
+    keyed = sets.select("node", "size", "bytes", F.explode("keys").alias("key"))
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     shared = stage_table(keyed.join(several, "key"), "near-keys")
-    above, below = SIMILAR
-    fits = lambda x, y: F.least(x, y) * below >= F.greatest(x, y) * above
-    first = shared.where((F.col("node") != F.col("lead.node")) & fits(F.col("size"), F.col("lead.size"))).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
-    first = stage_table(first.distinct(), "near-pairs")
-    links = stage_table(similar(first, rows), "near-links")
+    links = similar(stage_table(_fingerprint_links(sets).distinct(), "near-pairs"), rows)
+    for turn in range(2):
+        found = stage_table(components(links), "near-roots")
+        placed = shared.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        links = links.unionAll(similar(stage_table(_with_leads(placed, turn).distinct(), "near-pairs"), rows))
     found = stage_table(components(links), "near-roots")
-    placed = shared.join(found, "node", "left").select("node", "size", "key", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    placed = shared.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
     mixed = stage_table(placed.join(mixed, "key"), "near-mixed")
     x, y = mixed.alias("x"), mixed.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & fits(F.col("x.size"), F.col("y.size"))
-    second = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = stage_table(second, "near-pairs")
-    return components(links.unionAll(similar(second, rows)))
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _fits("x.size", "y.size")
+    close = agreeing(F.col("x.bytes"), F.col("y.bytes")) >= AGREE
+    rest = x.join(y, apart & close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return components(links.unionAll(similar(stage_table(rest, "near-pairs"), rows)))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that have the smallest doc_id of their group; of equal doc_ids, one row."""
-    keyed = stage_table(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    rows = keyed.select(F.col("_row").alias("row"), "doc_id", "text")
-    sketched = stage_table(sketches(rows), "near-sketches")
-    sets = sketched.groupBy("same").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    sets = stage_table(sets.select("first", F.col("first.row").alias("node"), "size", "keys"), "near-sets")
-    found = stage_table(near(sets, rows), "near-roots")
-    heads = sets.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("head")).select(F.col("head.row").alias("_row"))
+    with scratch(docs.sparkSession) as keep:
+        keyed = stage_table(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+        rows = keyed.select(F.col("_row").alias("row"), "doc_id", "text")
+        sketched = stage_table(sketches(rows), "near-sketches")
+        sets = sketched.groupBy("same").agg(F.min(F.struct("doc_id", "row")).alias("first"), *[F.first(c).alias(c) for c in ("size", "fp", "keys", "bytes")])
+        sets = stage_table(sets.select("first", F.col("first.row").alias("node"), "size", "fp", "keys", "bytes"), "near-sets")
+        discard(sketched)
+        found = stage_table(near(sets, rows), "near-roots")
+        heads = sets.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("head")).select(F.col("head.row").alias("_row"))
+        heads = stage_table(heads, "near-heads")
+        keep(keyed)
+        keep(heads)
     return keyed.join(heads, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

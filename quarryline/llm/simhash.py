@@ -10,8 +10,8 @@ A key that many different fingerprints share isn't paired out: there each finger
 under itself and its one-bit neighbours, and two within two bits meet under one of these, in groups
 of at most 65.
 
-Defined cases: null and empty texts have fingerprint zero, which links like any other; repeated rows
-share a fingerprint and so a component; a component without any doc_id has component_id null; an
+Defined cases: null and empty texts have fingerprint zero, which links like any other; a very long
+text is hashed whole, in parts; a bit set in just half of the shingles is 0; repeated rows share a fingerprint and so a component; a component without any doc_id has component_id null; an
 empty table gives an empty result; further columns are ignored.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.components import components
-from quarryline.llm.runtime import releasing, stage_table
+from quarryline.llm.runtime import releasing, scratch, stage_table
 
 SEGMENTS = 5
 DISTANCE = 2
@@ -44,9 +44,14 @@ def fingerprint(text: str | None, seed: int = 42, width: int = 3) -> int:
         ends = np.cumsum([len(w) + 1 for w in words])
         starts = np.concatenate([[0], ends[:-1]])
         hashes = [digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - width + 1].tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)]
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half of the 64-bit ``hashes``."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 14):
-        part = np.array(hashes[k : k + (1 << 14)], dtype="<u8")
+        part = hashes[k : k + (1 << 14)].astype("<u8", copy=False)
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
@@ -119,12 +124,15 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def near_groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id) per row of ``docs``; component_id is the smallest doc_id reachable."""
-    table = stage_table(fingerprints(docs), "simhash")
-    classes = stage_table(table.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    found = stage_table(components(links(classes.select("fp"), distance)), "simhash-roots")
-    rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = stage_table(rooted.join(firsts, "root").select("fp", "component_id"), "simhash-ids")
+    with scratch(docs.sparkSession) as keep:
+        table = stage_table(fingerprints(docs), "simhash")
+        classes = stage_table(table.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
+        found = stage_table(components(links(classes.select("fp"), distance)), "simhash-roots")
+        rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+        firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+        ids = stage_table(rooted.join(firsts, "root").select("fp", "component_id"), "simhash-ids")
+        keep(table)
+        keep(ids)
     return table.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm import wordbpe
-from quarryline.llm.runtime import releasing, stage_table
+from quarryline.llm.runtime import discard, releasing, stage_table
 
 TILE = 1 << 19
 _POWERS: list[np.ndarray] = []
@@ -324,16 +324,20 @@ def _free(spark) -> None:
 
 
 def repeated_spans(rows: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
-    """(row, lo, hi) such that every window that starts in lo..hi of the row's text is repeated, for ``rows`` (row, text)."""
+    """(row, spans): pairs lo, hi such that every window that starts in lo..hi of the row's text is repeated, for ``rows`` (row, text)."""
     spark = rows.sparkSession
     found = found_blocks(rows, rule)
     # written first: joined straight from its aggregation, a very common anchor couldn't be split over tasks
     often = stage_table(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "repeat-anchors")
     shared = stage_table(found.join(often, "anchor"), "repeat-blocks")
+    discard(often)
     _free(spark)
     classes = shared.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "lo", "shape")).alias("one"))
     classes = stage_table(classes, "repeat-classes")
     sure = shared.join(classes.where("n > 1").select("anchor", "whole"), ["anchor", "whole"]).select("row", "lo", (F.col("lo") + F.col("shape").bitwiseAND(F.lit(4095))).alias("hi"))
+    spans = [stage_table(sure, "repeat-spans")]
+    discard(shared)
+    _free(spark)
     groups = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single")).where("blocks > 1 AND single > 0").select("anchor", "blocks")
     open_ = classes.join(groups, "anchor").select(F.col("one.row").alias("row"), F.struct("one.lo", "one.shape", "anchor", "n", "blocks").alias("b"))
     by_row = open_.groupBy("row").agg(F.collect_list("b").alias("bs"))
@@ -351,9 +355,10 @@ def repeated_spans(rows: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in some], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()))], ["key", "row", "at", "n", "anchor_at", "around", "blocks"])
 
     parts = stage_table(by_row.join(rows, "row").select("row", "bs", "text").mapInArrow(releasing(cut), PART + ", blocks long"), "repeat-parts")
+    discard(classes)
     _free(spark)
     names = [c.split()[0] for c in PART.split(", ")]
-    spans = [stage_table(_sorted_spans(parts.where(F.col("blocks") <= rule.group).select(*names), rule), "repeat-spans")]
+    spans += [stage_table(_sorted_spans(parts.where(F.col("blocks") <= rule.group).select(*names), rule), "repeat-spans")]
     crowded = parts.where(F.col("blocks") > rule.group).select(*names)
     width = rule.length - rule.gram + 1
     cell = 1 << (width - 1).bit_length()
@@ -364,14 +369,19 @@ def repeated_spans(rows: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
         same = stage_table(same, "repeat-halves")
         windows = F.length("around") + 2 - width
         hit = level.where("n = 1").join(same.where("n > 1").select("key", "whole"), ["key", "whole"])
-        spans.append(hit.select("row", F.col("at").alias("lo"), (F.col("at") + windows - 1).cast("long").alias("hi")))
+        spans.append(stage_table(hit.select("row", F.col("at").alias("lo"), (F.col("at") + windows - 1).cast("long").alias("hi")), "repeat-spans"))
         groups = same.groupBy("key").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single")).where("blocks > 1 AND single > 0").select("key", "blocks")
+        discard(parts, level)
         parts = stage_table(same.join(groups, "key").select("key", "one.row", "one.at", "n", "one.anchor_at", "one.around", "blocks"), "repeat-halves")
         spans.append(stage_table(_sorted_spans(parts.where(F.col("blocks") <= rule.group).select(*names), rule), "repeat-spans"))
+        discard(same)
         crowded = parts.where(F.col("blocks") > rule.group).select(*names)
-    out = sure
-    for s in spans:
+    out = spans[0]
+    for s in spans[1:]:
         out = out.unionAll(s)
+    out = stage_table(out.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "repeat-spans")
+    discard(parts, *spans)
+    _free(spark)
     return out
 
 
@@ -384,7 +394,7 @@ def dedup(docs: DataFrame, rule: Repeats = Repeats(), keep_text: bool = True, ca
     # written once: scans of ``docs`` in later jobs may be split, and so numbered, in another way
     rows = stage_table(rows, "repeat-rows", compression="zstd")
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    spans = repeated_spans(rows.select("row", "text"), rule).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = repeated_spans(rows.select("row", "text"), rule)
     joined = rows.join(spans, "row", "left").select("row", "text", "doc_id", "spans", *[f"_carry{i}" for i in range(len(carry))])
 
     def run(batches):
