@@ -3,6 +3,10 @@
 Rejected documents go first, then all but one of each group of near-duplicates; what is left loses the
 passages that repeat and its secrets are masked; the rest is packed into token windows. Every stage but
 the last returns the columns of documents, whatever further columns it is given.
+
+Defined cases: null and empty texts go through all stages like others (they are near-duplicates of each
+other, so one is left), as do null doc_ids and null metadata; of repeated rows one stays; very long
+texts are never cut but by the passage stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import bm25_pack, cotrain, secrets, shingles, suffix_dedup
-from quarryline.llm.runtime import stage_table
+from quarryline.llm.runtime import discard, scratch, stage_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,13 +27,11 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
-    docs = docs.select(*COLUMNS)
-    model = cotrain.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _documents(cotrain.scored(docs, model).where("kept"))
+    return _documents(cotrain.scored(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group linked by similar sets of five-word shingles."""
+    """One document, that with the smallest doc_id, of each group linked by SimHash at five words or by shingle sets of similarity 0.8."""
     return _documents(shingles.one_of_each(docs.select(*COLUMNS)))
 
 
@@ -62,6 +64,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: tuple = ()
     for name, stage in STAGES[:-1]:
-        docs = stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as keep:
+            docs = stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep(docs)
+        discard(*before)
+        before = (docs,)
     return STAGES[-1][1](spark, docs, sf_dir)
