@@ -1,27 +1,32 @@
 """Secret scans, in DataFrame functions only.
 
 Patterns find the base spans. Beyond them, long tokens are put through a battery of randomness
-tests in the encoding that their characters suggest (chi-squared uniformity over its alphabet,
-runs about the middle, lag-1 serial correlation); a token that fails any of them is no random
-string. For the rest, the likelihood ratio of uniform characters against the character frequencies
-of the corpus's own words in that encoding (see ``background``) bounds the chance that ordinary text looks this random: P(ratio >= t) <= 1 / t. These
-bounds, smaller for longer tokens, enter a Benjamini-Hochberg step-up within each stratum of
-encoding and length, over all tokens of the corpus.
-
-Offsets are code points, ends exclusive. Defined cases: null and empty texts have no spans; null
-doc_ids and repeated rows are kept; ties between kinds at one start are in the order of ``KINDS``;
-an empty table gives an empty result; further columns are ignored.
+tests in the encoding that their characters suggest (chi-squared uniformity over its alphabet, with
+simulated critical values where few characters are expected in a cell; runs about the middle; lag-1
+serial correlation); a token that fails any of them is no random string. For the rest, the likelihood
+ratio of uniform characters against ordinary text in that encoding bounds the chance that ordinary
+text looks this random: P(ratio >= t) <= 1 / t. Ordinary text is the corpus's own words (see
+``background``) and ``Battery.prior`` characters of plain lower-case text, so that what is found
+doesn't depend on how many other secrets there are. These bounds, smaller for longer tokens, enter a
+Benjamini-Hochberg step-up within each stratum of encoding and length, over all tokens of the corpus.
+
+Offsets are code points, ends exclusive. Defined cases: null and empty texts have no spans; very long
+texts are scanned whole, in linear time; null doc_ids and repeated rows are kept; ties between kinds
+at one start are in the order of ``KINDS``; equal tokens get one verdict; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.runtime import stage_table
+from quarryline.llm.runtime import discard, stage_table
 
 KINDS = ("assign", "access", "hex", "random")
 #: Pattern, group whose length counts, least length.
@@ -41,11 +46,18 @@ BLOCK = 256
 
 @dataclass(frozen=True)
 class Battery:
-    """``least``: shortest token tested; ``alpha``: level at which one test rejects randomness; ``rate``: false-discovery rate."""
+    """``least``: shortest token tested; ``alpha``: level at which the battery rejects randomness; ``rate``: false-discovery rate; ``prior``: characters of ordinary text assumed beside those of the corpus."""
 
     least: int = 20
     alpha: float = 0.001
     rate: float = 0.01
+    prior: float = 2000.0
+
+
+#: Letters in ordinary text, by the thousand (a to z; sources of several languages, rounded).
+LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1), strict=True))
+#: Stands for a character inside a base span while tokens are looked for; tokens next to one in a text are left out.
+COVER = "\ue000"
 
 
 def let(value: Column, use) -> Column:
@@ -84,6 +96,14 @@ def matches(text: Column, pattern: str, group: int, least: int) -> Column:
     return F.when(text.rlike(pattern), let(parts, placed))
 
 
+def covered(text: Column, pattern: str, group: int, least: int) -> Column:
+    """The text with every character of such matches replaced by ``COVER``."""
+    whole, body, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.split(text, pattern, -1)
+    hidden = F.zip_with(whole, body, lambda w, b: F.when(F.length(b) >= least, F.repeat(F.lit(COVER), F.length(w))).otherwise(w))
+    pieces = F.zip_with(between, hidden, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(text.rlike(pattern), F.array_join(pieces, "")).otherwise(text)
+
+
 def _encoding(token: Column) -> Column:
     return (
         F.when(token.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex")
@@ -107,12 +127,34 @@ def _codes(token: Column, alphabet: str) -> Column:
     return F.transform(F.split(token, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
 
 
-def battery(codes: Column, k: int) -> Column:
-    """Smallest of the three tests' chances for uniform independent ``codes`` in 0..k-1, times three."""
+@lru_cache
+def critical_values(k: int, alpha: float) -> tuple[tuple[int, float], ...]:
+    """(least length, standardised chi-squared above which the uniformity test rejects) for ``k`` letters.
+
+    Simulated from uniform letters at a third of ``alpha`` for each length from which it is used up to
+    the next; from 5 expected in a cell on, by the Wilson-Hilferty formula.
+    """
+    rng, draws, out = np.random.default_rng(k), 30_000, []
+    sizes = [n for n in (8, 12, 16, 20, 24, 32, 40, 48, 64, 96, 128, 192, 256, 320) if n < 5 * k]
+    for n in sizes:
+        cells = rng.integers(0, k, (draws, n)) + np.arange(draws)[:, None] * k
+        square = (np.bincount(cells.ravel(), minlength=draws * k).reshape(draws, k).astype(float) ** 2).sum(axis=1)
+        out.append((n, float(np.quantile((k / n * square - n - (k - 1)) / math.sqrt(2 * (k - 1)), 1 - alpha / 3))))
+    z = 3.4  # upper point of the normal for a third of 0.001; other levels below
+    for step in range(60):
+        z += (0.5 * math.erfc(z / math.sqrt(2)) - alpha / 3) / max(1e-300, math.exp(-z * z / 2) / math.sqrt(2 * math.pi))
+    df = k - 1
+    return (*out, (5 * k, (df * (1 - 2 / (9 * df) + z * math.sqrt(2 / (9 * df))) ** 3 - df) / math.sqrt(2 * df)))
+
+
+def looks_random(codes: Column, k: int, alpha: float) -> Column:
+    """Whether none of the three tests, each at a third of ``alpha``, rejects uniform independent ``codes`` in 0..k-1."""
     n = F.size(codes).cast("double")
     square = F.aggregate(F.transform(F.array_distinct(codes), lambda c: F.pow(F.size(F.filter(codes, lambda x: x == c)).cast("double"), 2.0)), F.lit(0.0), lambda s, x: s + x)
-    chi2, df = k / n * square - n, float(k - 1)
-    p_chi2 = _upper_tail((F.pow(F.greatest(chi2, F.lit(1e-9)) / df, 1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    uneven = (k / n * square - n - (k - 1)) / math.sqrt(2 * (k - 1))
+    limit = F.lit(math.inf)
+    for least, value in critical_values(k, alpha):
+        limit = F.when(n >= least, value).otherwise(limit)
     high = F.transform(codes, lambda c: c >= k // 2)
     n1 = F.size(F.filter(high, lambda h: h)).cast("double")
     n2 = n - n1
@@ -126,13 +168,13 @@ def battery(codes: Column, k: int) -> Column:
     cross = F.aggregate(F.zip_with(head(codes), tail(codes), lambda a, b: (a - mu) * (b - mu)), F.lit(0.0), lambda s, x: s + x)
     own = F.aggregate(codes, F.lit(0.0), lambda s, x: s + (x - mu) * (x - mu))
     p_serial = 2 * _upper_tail(F.abs(cross / F.greatest(own, F.lit(1e-9)) * F.sqrt(n)))
-    return F.least(F.lit(1.0), 3 * F.least(p_chi2, p_runs, p_serial))
+    return (uneven <= limit) & (F.least(p_runs, p_serial) > alpha / 3)
 
 
-def background(docs: DataFrame, battery_of: Battery) -> dict[str, dict[str, int]]:
+def background(docs: DataFrame, battery_of: Battery) -> dict[str, dict[str, float]]:
     """How often the words of ``docs`` (text) in each encoding have each of its characters.
 
-    Base spans don't count, nor do tokens that the battery lets pass and that occur once, as secrets do:
+    The prior's characters count as well. Base spans don't count, nor do tokens that the battery lets pass and that occur once, as secrets do:
     what is found in one place doesn't depend on how many secrets lie elsewhere.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -140,31 +182,41 @@ def background(docs: DataFrame, battery_of: Battery) -> dict[str, dict[str, int]
         text = F.regexp_replace(text, pattern, " ")
     words = docs.select(F.explode(F.split(text, "[^A-Za-z0-9+/_-]+")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     words = words.select("w", "n", _encoding(F.col("w")).alias("code"))
-    chance = F.lit(None).cast("double")
+    passes = F.lit(False)
     for code, alphabet in ALPHABETS.items():
         body = F.lower("w") if code == "hex" else F.col("w")
-        chance = F.when(F.col("code") == code, let(_codes(body, alphabet), lambda codes, k=len(alphabet): battery(codes, k))).otherwise(chance)
+        passes = F.when(F.col("code") == code, let(_codes(body, alphabet), lambda codes, k=len(alphabet): looks_random(codes, k, battery_of.alpha))).otherwise(passes)
     alone = (F.length("w") >= battery_of.least) & (F.col("n") == 1)
-    kept = words.where(F.col("code").isNotNull() & F.when(alone, chance <= battery_of.alpha).otherwise(True))
+    kept = words.where(F.col("code").isNotNull() & F.when(alone, ~passes).otherwise(True))
     body = F.when(F.col("code") == "hex", F.lower("w")).otherwise(F.col("w"))
     chars = kept.select("code", "n", F.explode(F.split(body, "")).alias("c")).groupBy("code", "c").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[str, int]] = {c: {} for c in ALPHABETS}
+    counts = {code: prior_counts(code, battery_of.prior) for code in ALPHABETS}
     for r in chars.collect():  # at most the alphabets' 176 characters
-        counts[r["code"]][r["c"]] = r["n"]
+        counts[r["code"]][r["c"]] += r["n"]
     return counts
 
 
+def prior_counts(code: str, amount: float) -> dict[str, float]:
+    """``amount`` characters of ordinary text in an encoding: letters as often as in prose (capitals where there are no others), every character a little."""
+    letters = {c.upper() if code == "base32" else c: n for c, n in LETTERS.items()}
+    share = {c: letters.get(c, 0) + 1 for c in ALPHABETS[code]}
+    return {c: n * amount / sum(share.values()) for c, n in share.items()}
+
+
 def scan(docs: DataFrame, battery_of: Battery = Battery()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, base (array of start, kind, end) and found (with the method's spans)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    token = f"([A-Za-z0-9+/_-]{{{battery_of.least},}})"
+    token = f"([A-Za-z0-9+/_{COVER}-]{{{battery_of.least},}})"
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     rows = docs.select(F.col("doc_id"), text.alias("body"))
-    rows = rows.withColumns({f"_m{i}": matches(F.col("body"), *b) for i, b in enumerate(BASE)} | {"_tokens": matches(F.col("body"), token, 1, battery_of.least)})
+    rows = rows.withColumns({f"_m{i}": matches(F.col("body"), *b) for i, b in enumerate(BASE)})
+    for b in BASE:  # a token that overlaps a base span holds one of its characters
+        rows = rows.withColumn("body", covered(F.col("body"), *b))
+    rows = rows.withColumn("_tokens", matches(F.col("body"), token, 1, battery_of.least))
     of_kind = lambda i: lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"))
     spans = [F.coalesce(F.transform(f"_m{i}", of_kind(i)), none) for i in range(len(BASE))]
     rows = rows.select("doc_id", "_tokens", F.array_sort(F.concat(*spans)).alias("base"))
-    rows = rows.withColumn("_tokens", F.filter("_tokens", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))))
+    rows = rows.withColumn("_tokens", F.filter("_tokens", lambda t: ~F.contains(t["body"], F.lit(COVER))))
     rows = rows.withColumn("_tokens", F.transform("_tokens", lambda t: F.struct(t["start"], t["end"], t["body"], _encoding(t["body"]).alias("code"))))
     rows = stage_table(rows.withColumn("_tokens", F.coalesce(F.filter("_tokens", lambda t: t["code"].isNotNull()), F.array().cast("array<struct<start:bigint,end:bigint,body:string,code:string>>"))), "secret-tokens")
 
@@ -175,20 +227,22 @@ def scan(docs: DataFrame, battery_of: Battery = Battery()) -> DataFrame:
         out = F.lit(0)
         for code, alphabet in ALPHABETS.items():
             k, total = len(alphabet), sum(counts[code].values())
-            share = [math.log((counts[code].get(c, 0) + 1) / (total + k) * k) for c in alphabet]
+            share = [math.log((counts[code][c] + 1) / (total + k) * k) for c in alphabet]
             body = F.lower(t["body"]) if code == "hex" else t["body"]
             weights = F.array(*[F.lit(-x) for x in share])
 
             def level(codes, weights=weights, k=k):
                 gain = F.aggregate(codes, F.lit(0.0), lambda s, x: s + F.element_at(weights, x + 1))
                 bound = F.least(F.lit(400), F.greatest(F.lit(0), F.floor(gain * 10 / math.log(10)).cast("int")))
-                return F.when(battery(codes, k) > battery_of.alpha, bound).otherwise(0)
+                return F.when(looks_random(codes, k, battery_of.alpha), bound).otherwise(0)
 
             out = F.when(t["code"] == code, let(_codes(body, alphabet), level)).otherwise(out)
         return out
 
     stratum = lambda t: F.concat(t["code"], F.floor(F.log2(F.length(t["body"]))).cast("string"))
+    tokens = rows
     rows = stage_table(rows.withColumn("_tokens", F.transform("_tokens", lambda t: F.struct(t["start"], t["end"], stratum(t).alias("stratum"), scored(t).alias("level")))), "secret-scores")
+    discard(tokens)
     levels = rows.select(F.explode("_tokens").alias("t")).groupBy(F.col("t.stratum").alias("stratum"), F.col("t.level").alias("level")).count()
     by = Window.partitionBy("stratum")
     steps = levels.withColumns({"above": F.sum("count").over(by.orderBy(F.desc("level"))), "m": F.sum("count").over(by)})
