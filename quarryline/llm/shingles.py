@@ -33,6 +33,8 @@ SIMILAR = (4, 5)  # numerator and denominator of the least similarity
 ROWS, BANDS = 5, 24
 #: Of the ROWS * BANDS min-hashes, how many must agree for an exact comparison: the mean at 0.8 less 4.8 deviations.
 AGREE = 75
+#: Sets of a key in a block; a task compares two blocks at a time.
+BLOCK = 512
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -95,17 +97,6 @@ def sketches(rows: DataFrame) -> DataFrame:
     return rows.select("row", "doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(releasing(run), f"row long, doc_id {kind}, same long, size long, fp long, keys array<long>, bytes array<long>")
 
 
-def agreeing(a: Column, b: Column) -> Column:
-    """How many bytes of two arrays of numbers are equal."""
-    total = F.lit(ROWS * BANDS)
-    for i in range(ROWS * BANDS // 8):
-        x = a[i].bitwiseXOR(b[i])
-        for shift, kept in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(kept))
-        total = total - F.bit_count(x)
-    return total
-
-
 def similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b), a stored table of row numbers, whose texts in ``rows`` (row, text) are similar; also a stored table."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
@@ -153,9 +144,78 @@ def _fingerprint_links(sets: DataFrame) -> DataFrame:
     return stars.unionAll(across)
 
 
+def _joined(mixed: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b) that join the groups of all similar pairs under each key of ``mixed`` (key, node, size, root, keys, bytes).
+
+    The sets of a key are dealt into blocks; a task holds two of them, with their texts, and gives only
+    the links that join what is still apart in it. A pair is compared under its first common key.
+    """
+    sized = mixed.join(mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "key")
+    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
+    texts = sized.join(rows.select(F.col("row").alias("node"), F.coalesce("text", F.lit("")).alias("text")), "node")
+    dealt = texts.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").select("key", "lo", "hi", "own", "node", "root", "size", "keys", "bytes", "text")
+
+    def links(held, key, lo, hi):
+        above, below = SIMILAR
+        part, node, root, size = (np.array([h[i] for h in held], np.int64) for i in (3, 4, 5, 6))
+        bands, marks = np.array([h[7] for h in held], np.int64), np.array([h[8] for h in held], np.int64).view(np.uint8)
+        sets: dict[int, np.ndarray] = {}
+        parent: dict[int, int] = {}
+
+        def top(x):
+            while x in parent:
+                x = parent[x]
+            return x
+
+        for a in range(0, len(held), 64):
+            left = np.arange(a, min(len(held), a + 64))
+            near = root[left][:, None] != root
+            near &= (part[left][:, None] != part) if lo != hi else True
+            near &= node[left][:, None] < node
+            near &= np.minimum(size[left][:, None], size) * below >= np.maximum(size[left][:, None], size) * above
+            near &= (marks[left][:, None] == marks).sum(axis=2) >= AGREE
+            i, j = np.nonzero(near)
+            i += a
+            same = bands[i] == bands[j]
+            mine = bands[i, same.argmax(axis=1)] == key
+            for x, y in zip(i[mine].tolist(), j[mine].tolist(), strict=True):
+                p, q = top(int(root[x])), top(int(root[y]))
+                if p == q:
+                    continue
+                for k in (x, y):
+                    if k not in sets:
+                        sets[k] = shingles(held[k][9])
+                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if common * below >= above * (size[x] + size[y] - common):
+                    parent[max(p, q)] = min(p, q)
+                    yield int(node[x]), int(node[y])
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[:9]] + [wordbpe.text_bytes(batch.column(9))]
+            out = []
+            for row in zip(*columns, strict=True):
+                if held and row[:3] != held[0][:3]:
+                    out += links(held, *held[0][:3])
+                    held = []
+                held.append(row)
+            yield _pairs(out)
+        if held:
+            yield _pairs(list(links(held, *held[0][:3])))
+
+    return dealt.mapInArrow(releasing(run), "a long, b long")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], ["a", "b"])
+
+
 def near(sets: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, root) of the groups that similar ``sets`` (node, size, fp, keys, bytes) make; node is the number in ``rows`` (row, text) of a text with the set."""
-    keyed = sets.select("node", "size", "bytes", F.explode("keys").alias("key"))
+    keyed = sets.select("node", "size", "keys", "bytes", F.explode("keys").alias("key"))
     several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     shared = stage_table(keyed.join(several, "key"), "near-keys")
     links = similar(stage_table(_fingerprint_links(sets).distinct(), "near-pairs"), rows)
@@ -167,11 +227,8 @@ def near(sets: DataFrame, rows: DataFrame) -> DataFrame:
     placed = shared.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
     mixed = stage_table(placed.join(mixed, "key"), "near-mixed")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _fits("x.size", "y.size")
-    close = agreeing(F.col("x.bytes"), F.col("y.bytes")) >= AGREE
-    rest = x.join(y, apart & close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return components(links.unionAll(similar(stage_table(rest, "near-pairs"), rows)))
+    discard(shared)
+    return components(links.unionAll(stage_table(_joined(mixed, rows), "near-links")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -61,19 +61,8 @@ def test_sets_that_the_smallest_does_not_link_are_compared(spark):
     assert [r.doc_id for r in shingles.one_of_each(docs).collect()] == [0]
 
 
-def test_agreeing_bytes(spark):
-    rng = np.random.default_rng(2)
-    n = shingles.ROWS * shingles.BANDS
-    a, b = rng.integers(0, 256, (30, n), np.uint8), rng.integers(0, 256, (30, n), np.uint8)
-    b[rng.random((30, n)) < 0.6] = 0
-    a[rng.random((30, n)) < 0.6] = 0
-    rows = [(i, x.view(np.int64).tolist(), y.view(np.int64).tolist()) for i, (x, y) in enumerate(zip(a, b))]
-    df = spark.createDataFrame(rows, "i int, x array<long>, y array<long>")
-    got = {r.i: r.n for r in df.select("i", shingles.agreeing(df.x, df.y).alias("n")).collect()}
-    assert got == {i: int((x == y).sum()) for i, (x, y) in enumerate(zip(a, b))}
-
-
-def test_a_crowd_of_short_texts_that_are_alike_in_parts(spark):
+def test_a_crowd_of_short_texts_that_are_alike_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "BLOCK", 40)
     rng = np.random.default_rng(8)
     words = [f"w{i}" for i in range(90)]
     crowd = [" ".join(f"x{rng.integers(1 << 30)}" if rng.random() < 0.012 else w for w in words) for _ in range(220)]
