@@ -3,12 +3,16 @@
 A tolerant parser builds the page's element tree. Every block element gets features: what kind of
 element it is, which groups of words its class, id and role name (and those of its ancestors), depth,
 text, link and markup density of its subtree, and how it stands among its siblings. Boosted trees,
-trained here on generated pages whose main nodes are known, give its log-odds of holding main text.
-The decision is taken over the tree: a node's gain is its own log-odds plus its children's positive
+trained here on generated pages whose main nodes are known, give its log-odds of holding main text;
+outside them only the contents of scripts, styles and other elements that are no text are left out. The decision is taken over the tree: a node's gain is its own log-odds plus its children's positive
 gains by their share of its text; a node is kept if its gain is positive and its parent is kept, so a
 kept node never lies in a dropped one, and a dropped node's whole subtree goes.
 
-Defined cases: null and empty pages give an empty text; repeated pages give equal rows; a null url is
+A tag with an unclosed quote ends at its first bracket, one without a bracket at the page's end; neither
+becomes text. Work grows in proportion to a page's length, whatever is unclosed or nested in it.
+
+Defined cases: null and empty pages give an empty text; very long pages are parsed whole; a gain of
+exactly zero drops a node; repeated pages give equal rows; a null url is
 returned as it is; an empty table gives an empty result; further columns are ignored; white space is
 Unicode white space; a line break counts as white space.
 """
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,15 +31,14 @@ from pyspark.sql import functions as F
 
 from quarryline.llm import wordbpe
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A comment, a tag with closed quotes, a tag up to the first bracket, another declaration; no part is tried in two ways.
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*+)(?:((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|[^>]*+(?:>|$))|<[!?/][^>]*+(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
 WORDS = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe template svg math".split())
-#: Never text of the article, whatever the trees say.
-NEVER = RAW | frozenset("head form button select option nav input label dialog menu".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
-KINDS = ("article", "main", "section", "div", "p", "li", "ul", "ol", "h1", "h2", "h3", "header", "footer", "aside", "table", "tr", "td", "blockquote", "figure", "pre", "body", "address")
+RAW = frozenset("script style title textarea noscript iframe template svg".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mi mn mo mrow msub msup q s samp small span strike strong sub sup time tt u var wbr".split())
+KINDS = ("article", "main", "section", "div", "p", "li", "ul", "ol", "h1", "h2", "h3", "header", "footer", "aside", "table", "tr", "td", "blockquote", "figure", "pre", "body", "address", "nav", "form", "button", "select", "menu", "dialog")
 GROUPS = {
     "main": "article post entry content main story body text copy prose read",
     "nav": "nav navbar navigation menu breadcrumb breadcrumbs pager pagination toc tabs toolbar skip",
@@ -57,10 +61,11 @@ STOPS = frozenset("ul ol table body html div article section main td".split())
 
 
 class Node:
-    __slots__ = ("tag", "groups", "parent", "children", "parts", "depth", "truth")
+    __slots__ = ("tag", "groups", "parent", "block", "children", "parts", "depth", "truth")
 
     def __init__(self, tag: str, groups: int, parent: Node | None):
         self.tag, self.groups, self.parent = tag, groups, parent
+        self.block = self if tag not in INLINE or parent is None else parent.block  # the block that its text belongs to
         self.children: list[Node] = []
         self.parts: list = []  # own text, and children where they stand in it
         self.depth = parent.depth + 1 if parent else 0
@@ -85,7 +90,15 @@ def parse(page: str) -> Node:
     """The element tree; inline elements are kept as nodes but their text belongs to the block around."""
     root = Node("body", 0, None)
     top, at, end = root, 0, len(page)
-    find = TOKEN.search
+    find, open_ = TOKEN.search, Counter()
+
+    def leave(to: Node) -> None:
+        """Close all elements below ``to``."""
+        nonlocal top
+        while top is not to:
+            open_[top.tag] -= 1
+            top = top.parent
+
     while at < end:
         m = find(page, at)
         if not m:
@@ -99,15 +112,19 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            node = top
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                top = node.parent
+            if open_[tag] > 0:
+                node = top
+                while node.tag != tag or node is root:
+                    node = node.parent
+                leave(node.parent)
             elif tag == "br":
                 top.parts.append(" ")
             continue
         if tag in ("html", "body"):
+            if open_["head"] > 0:
+                while top.tag != "head":
+                    leave(top.parent)
+                leave(top.parent)
             root.groups |= _groups(m[3])[0] if m[3] else 0
             continue
         if tag in VOID:
@@ -115,51 +132,39 @@ def parse(page: str) -> Node:
                 top.parts.append(" ")
             continue
         if tag in RAW:
-            close = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
+            close = re.compile(f"</{tag}\\s*+>", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        if tag in CLOSES_P:
-            node = top
-            while node is not root and node.tag != "p" and node.tag in INLINE:
-                node = node.parent
-            if node.tag == "p":
-                top = node.parent
-        if tag in OWN_CLOSERS:
+        if tag in CLOSES_P and top.block.tag == "p":
+            leave(top.block.parent)
+        if tag in OWN_CLOSERS and any(open_[t] > 0 for t in OWN_CLOSERS[tag]):
             node = top
             while node is not root and node.tag not in STOPS and node.tag not in OWN_CLOSERS[tag]:
                 node = node.parent
             if node.tag in OWN_CLOSERS[tag]:
-                top = node.parent
+                leave(node.parent)
         groups, truth = _groups(m[3]) if m[3] else (0, None)
         node = Node(tag, groups, top)
         node.truth = truth
         top.children.append(node)
         top.parts.append(node)
-        if m[3][-1:] != "/" or tag not in INLINE:
+        if (m[3] or "")[-1:] != "/" or tag not in INLINE:
             top = node
+            open_[tag] += 1
     return root
 
 
 def blocks_of(root: Node) -> list[Node]:
-    """Block elements in page order, parents first; what NEVER names is left out with all it holds."""
+    """Block elements in page order, parents first."""
     out, todo = [], [root]
     while todo:
         node = todo.pop()
-        if node.tag in NEVER:
-            continue
         if node.tag not in INLINE:
             out.append(node)
         todo.extend(reversed(node.children))
     return out
 
 
-def _block_parent(node: Node) -> Node | None:
-    p = node.parent
-    while p is not None and p.tag in INLINE:
-        p = p.parent
-    return p
-
-
 N_FEATURES = len(KINDS) + 2 * N_GROUPS + 15
 
 
@@ -173,7 +178,7 @@ def features(blocks: list[Node]) -> tuple[np.ndarray, np.ndarray]:
     x = np.zeros((n, N_FEATURES))
     for i, b in enumerate(blocks):
         if i:
-            parent[i] = place[id(_block_parent(b))]
+            parent[i] = place[id(b.parent.block)]
             above[i] = above[parent[i]] | blocks[parent[i]].groups
         todo = [(b, False)]
         while todo:
@@ -187,8 +192,6 @@ def features(blocks: list[Node]) -> tuple[np.ndarray, np.ndarray]:
                         links[i] += k
                 elif part.tag in INLINE:
                     todo.append((part, link or part.tag == "a"))
-                elif part.tag in NEVER:
-                    tags[i] += 1
         paras[i] = b.tag == "p"
     own = text.copy()
     for i in range(n - 1, 0, -1):
@@ -202,9 +205,9 @@ def features(blocks: list[Node]) -> tuple[np.ndarray, np.ndarray]:
     for i in range(1, n):
         by.setdefault(int(parent[i]), []).append(i)
     for kids in by.values():
-        names = [blocks[k].tag for k in kids]
+        names = Counter(blocks[k].tag for k in kids)
         for r, k in enumerate(kids):
-            siblings[k], rank[k], same[k] = len(kids), (r + 1) / len(kids), names.count(blocks[k].tag) / len(kids)
+            siblings[k], rank[k], same[k] = len(kids), (r + 1) / len(kids), names[blocks[k].tag] / len(kids)
     kind = {t: i for i, t in enumerate(KINDS)}
     up = np.maximum(parent, 0)
     for i, b in enumerate(blocks):
@@ -233,7 +236,7 @@ def features(blocks: list[Node]) -> tuple[np.ndarray, np.ndarray]:
 class Boosting:
     """``pages`` generated pages, ``trees`` of ``depth``; ``seed`` of the generator."""
 
-    pages: int = 1200
+    pages: int = 2000
     trees: int = 60
     depth: int = 4
     rate: float = 0.25
@@ -337,17 +340,22 @@ def generated_page(rng: np.random.Generator) -> str:
         "comments": lambda: box(("section", "div"), ("comments", "discussion", "comment-list", "replies"), f"<h3>{words(2)}</h3>" * few(0, 2) + "".join(f'<div class="{pick("comment", "reply", "item")}">{paragraph(few(5, 80))}</div>' for _ in range(few(1, 7)))),
         "share": lambda: box(("div",), ("share", "social", "follow"), links(few(2, 6))),
         "related": lambda: box(("div", "section", "aside"), ("related", "recommended", "popular", "more-links"), f"<h3>{words(2)}</h3>" + links(few(3, 8))),
-        "form": lambda: f'<div class="{pick("newsletter", "subscribe", "login", "search")}"><form><p>{words(few(3, 9))}</p><input type="text"><button>{words(1)}</button></form></div>',
+        "button": lambda: pick(f"<button>{words(few(1, 4))}</button>", "<select>" + "".join(f"<option>{words(1)}</option>" for _ in range(few(2, 9))) + "</select>", f"<dialog>{words(few(3, 20))}</dialog>", f"<menu><li>{words(1)}</li><li>{words(2)}</li></menu>"),
+        "form": lambda: f'<form class="{pick("search", "comment-form", "contact", "")}"><p>{words(few(2, 9))}</p><label>{words(1)}</label><input type="text"><textarea>{words(2)}</textarea><button>{words(1)}</button></form>' if rng.random() < 0.3 else f'<div class="{pick("newsletter", "subscribe", "login", "search")}"><form><p>{words(few(3, 9))}</p><input type="text"><button>{words(1)}</button></form></div>',
     }
     true = ' data-truth="1"'
 
     def body():
-        out = [f"<h1{true}>{prose(few(1, 25))}</h1>"] if rng.random() < 0.85 else []
+        out = [f"<h1{true}>{prose(pick(few(1, 4), few(1, 25)))}</h1>"] if rng.random() < 0.85 else []
+        if out and rng.random() < 0.15:  # a headline in a header of the article's own
+            out = [f"<header{true}>{out[0]}</header>"]
         short = rng.random() < 0.25
         for _ in range(few(1, 4) if short else few(1, 14)):
-            kind, n = rng.random(), few(1, 15) if short else pick(few(1, 6), few(8, 120), few(8, 120), few(20, 300))
+            kind, n = rng.random(), pick(few(1, 4), few(1, 15)) if short else pick(few(1, 6), few(8, 120), few(8, 120), few(20, 300))
             if kind < 0.72:
                 t = prose(n)
+                if rng.random() < 0.04:
+                    t = f"{words(3)} <label>{words(2)}</label> {t} <math><mi>{words(1)}</mi></math>"
                 t = f"<b>{t}" if rng.random() < 0.1 else t + (f' <a href="#">{words(2)}</a> {words(3)}.' if rng.random() < 0.2 else "")
                 out.append(f"<p{true}>{t}" + pick("</p>", "</p>", "</p>", "<br>", ""))
             elif kind < 0.78:
@@ -361,14 +369,17 @@ def generated_page(rng: np.random.Generator) -> str:
             elif kind < 0.93:
                 out.append(f"<div{true}>{prose(few(10, 90))}</div>")
             else:
-                out.append(junk[pick("ad", "share", "related", "form", "aside")]())
+                out.append(junk[pick("ad", "share", "related", "form", "aside", "button")]())
         return "".join(out)
 
     tag = pick("article", "article", "main", "div", "div", "section")
     name = "" if (tag in ("article", "main") and rng.random() < 0.6) or rng.random() < 0.15 else f' {pick("class", "id")}="{pick("content", "post", "entry-content", "article-body", "story", "main", "text", "page")}"'
     main = f"<{tag}{name}{true}>{body()}" + (junk[pick("comments", "share", "related")]() if rng.random() < 0.2 else "") + f"</{tag}>"
-    before = [junk[k]() for k in ("nav", "header", "notice", "ad", "aside", "form") if rng.random() < 0.45]
-    after = [junk[k]() for k in ("comments", "related", "aside", "ad", "share", "footer", "notice", "form") if rng.random() < 0.4]
+    if rng.random() < 0.15:  # nothing around the article
+        main = body()
+    bare = rng.random() < 0.08  # nor anything beside it
+    before = [junk[k]() for k in ("nav", "header", "notice", "ad", "aside", "form") if not bare and rng.random() < 0.45]
+    after = [junk[k]() for k in ("comments", "related", "aside", "ad", "share", "footer", "notice", "form") if not bare and rng.random() < 0.4]
     rng.shuffle(before)
     page = "".join(before) + main + "".join(after)
     for _ in range(few(0, 3)):
@@ -411,7 +422,7 @@ def kept_text(blocks: list[Node], keep: np.ndarray) -> str:
             out.append(part)
         elif part.tag in INLINE:
             todo.extend(reversed(part.parts))
-        elif part.tag in NEVER or id(part) not in kept:
+        elif id(part) not in kept:
             out.append(" ")
         else:
             out.append(" ")
