@@ -49,7 +49,7 @@ dl AS (SELECT id, domain, len(ts) AS dl FROM d),
 corpus AS (SELECT count(*) AS n, greatest(coalesce(avg(dl), 0), 1) AS mean FROM dl),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term)
 """
-TASKS = f"task AS (SELECT item_id AS task_id, array_to_string(list_slice({TOKENS.format('text')}, 1, 12), ' ') AS query, text AS full_text FROM benchmark)"
+TASKS = f"task AS (SELECT item_id AS task_id, array_to_string({TOKENS.format("coalesce(text, '')")}, ' ') AS query, text AS full_text FROM benchmark)"
 BM25 = f"""
 {INDEX}, {TASKS},
 asked AS (SELECT task_id, term, count(*) AS qtf FROM (SELECT task_id, unnest({TOKENS.format('query')}) AS term FROM task) GROUP BY ALL),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarryline.functions.text import tokens
+from quarryline.functions.text import CONTENT_STOPWORDS, tokens
 from quarryline.operators import evidence as V
 from quarryline.operators import index, intents, models
 from quarryline.plans.base import BM25, TOKENS, query, values
@@ -42,37 +42,122 @@ def reranked(spark, sf):
     return models.rerank(hits)
 
 
-REQUESTS = [
-    (1, "What is Cloud Run and how do I deploy it?", ["What is Cloud Run", "how do I deploy Cloud Run"]),
-    (2, "How and why does billing change", ["How does billing change", "why does billing change"]),
-    (3, "storage and compute prices", ["storage and compute prices"]),
-    (4, "Reset the router; also, where is the log?", ["Reset the router", "where is the log"]),
-    (5, "When was X released and when was Y released in 2021", ["When was X released in 2021", "when was Y released in 2021"]),
-    (6, "one . two . three . four . five", ["one", "two", "three", "four"]),
-    (7, "", [""]),
-]
-
-
-def _requests(spark):
-    return spark.createDataFrame(REQUESTS, "k int, q string, expected array<string>")
-
-
-@query(f"SELECT k, array_to_string(e, ' / ') AS parts FROM {values([(k, e) for k, _, e in REQUESTS], ['k', 'e'])}")
+#: Requests made of the first words a, b, c, d of each user turn, by its place in the conversation.
+SHAPES = (
+    "'What is ' || a || ' ' || b || ' and how do I use it?'",
+    "'How and why does ' || a || ' change?'",
+    "a || ' and ' || b || ' prices'",
+    "'Reset the ' || a || '; also, where is the ' || b || '? What about ' || c || '?'",
+    "'When was ' || a || ' released and when was ' || b || ' released in 2021.'",
+    "a || ' . ' || b || ' . ' || c || ' ' || d || ' . ' || a || ' . ' || d",
+    "'Explain ' || a || '. Additionally, can ' || b || ' run plus is ' || c || ' free'",
+)
+REQUEST = "CASE (conv_id + turn / 2) % 7 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(SHAPES)) + " END"
+TURN_WORDS = "regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+')"
+
+
+def _requests(spark, sf):
+    """(k, q): a request for each user turn."""
+    turns = table(spark, sf, "conversations").where("role = 'user'")
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z0-9_]+"), F.lit(0))
+    named = turns.select("conv_id", "turn", *[F.coalesce(F.get(words, F.lit(i)), F.lit("")).alias(n) for i, n in enumerate("abcd")])
+    return named.select(F.concat_ws("-", "conv_id", "turn").alias("k"), F.expr(REQUEST.replace("turn / 2", "turn div 2")).alias("q"))
+
+
+def _cut_sql(text: str, rules) -> str:
+    for pattern, to in rules:
+        to = to.replace(intents.MARK, "' || chr(30) || '").replace("$", "\\")
+        text = f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
+    bare = "trim(regexp_replace(regexp_replace(trim(p), '" + intents.CLOSING + "', ''), '" + intents.OPENING + "', ''))"
+    return f"list_filter(list_transform(string_split({text}, chr(30)), lambda p: {bare}), lambda p: p <> '')"
+
+
+EVENTS_SQL = r"list_transform(ps, lambda p: regexp_extract_all(lower(p), '\b(" + "|".join(intents.EVENTS) + r")\b'))"
+PARTS_SQL = rf"""
+w AS (SELECT conv_id, turn, {TURN_WORDS} AS ws FROM conversations WHERE role = 'user'),
+n AS (SELECT conv_id, turn, {", ".join(f"coalesce(ws[{i + 1}], '') AS {x}" for i, x in enumerate("abcd"))} FROM w),
+r AS (SELECT conv_id || '-' || turn AS k, trim({REQUEST.replace("turn / 2", "turn // 2")}) AS q FROM n),
+c AS (SELECT k, q, {_cut_sql("q", [(intents.LIST, intents.MARK)])} AS listed, {_cut_sql("q", intents.boundaries())} AS cut FROM r),
+p AS (SELECT k, q, (CASE WHEN len(listed) > 1 THEN listed ELSE cut END)[1:4] AS ps,
+             regexp_extract(regexp_replace(q, '[ .?!]+$', ''), '{intents.DATE}', 1) AS date FROM c),
+e AS (SELECT *, {EVENTS_SQL} AS ev FROM p),
+f AS (SELECT k, q, CASE WHEN date <> '' AND len(ps) > 1 AND len(list_reduce(ev, lambda x, y: list_intersect(x, y))) > 0
+             THEN list_transform(ps, lambda p: CASE WHEN regexp_matches(p, '\b\d{{4}}\b') THEN p ELSE p || ' ' || date END) ELSE ps END AS ps FROM e),
+g AS (SELECT *, regexp_extract(ps[1], '{intents.SUBJECT}', 1) AS subject FROM f),
+parts AS (SELECT k, q, CASE
+  WHEN regexp_matches(q, '{intents.BOTH}') THEN list_transform([1, 2], lambda i: (CASE i WHEN 1 THEN regexp_extract(q, '{intents.BOTH}', 1) ELSE regexp_extract(q, '{intents.BOTH}', 2) END) || ' ' || regexp_replace(regexp_extract(q, '{intents.BOTH}', 3), '[ .?!]+$', ''))
+  WHEN len(ps) < 2 THEN [q]
+  WHEN subject <> '' AND NOT regexp_matches(subject, '(?i)\b(?:and|or)\b') THEN list_concat(ps[1:1], list_transform(ps[2:], lambda p: regexp_replace(p, '(?i)\bit\b', subject, 'g')))
+  ELSE ps END AS ps FROM g)
+"""
+
+
+@query(f"WITH {PARTS_SQL} SELECT k, array_to_string(ps, ' / ') AS parts FROM parts")
 def decomposition(spark, sf):
-    return _requests(spark).select("k", F.array_join(intents.decompose(F.col("q")), " / ").alias("parts"))
-
-
-@query(f"SELECT k, len(e) AS n_expected, len(e) AS n_predicted, CASE WHEN k IN (6, 7) THEN CASE k WHEN 6 THEN 4 ELSE 0 END ELSE len(e) END AS n_matched, false AS over_split FROM {values([(k, e) for k, _, e in REQUESTS], ['k', 'e'])}")
+    return intents.with_parts(_requests(spark, sf), "q").select("k", F.array_join("parts", " / ").alias("parts"))
+
+
+def _bag_sql(text: str) -> str:
+    stops = ", ".join(f"'{w}'" for w in [*CONTENT_STOPWORDS, *intents.FILLERS])
+    kept = f"list_filter(list_transform(regexp_extract_all({text}, '[A-Za-z0-9_]+'), lambda t: lower(t)), lambda t: t NOT IN ({stops}))"
+    return f"list_transform({kept}, lambda t: CASE WHEN length(t) > 4 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN t[:-2] ELSE t END)"
+
+
+@query(f"""WITH RECURSIVE {PARTS_SQL},
+cases AS (SELECT k, ps, list_transform(range(1, len(ps) + 1), lambda i: CASE WHEN i = 1 THEN ps[len(ps)] ELSE ps[i - 1] || ' ' || k END) AS expected FROM parts),
+ex AS (SELECT k, i, {_bag_sql("expected[i]")} AS e FROM cases, unnest(range(1, len(expected) + 1)) AS u(i)),
+pr AS (SELECT k, j, {_bag_sql("ps[j]")} AS p FROM cases, unnest(range(1, len(ps) + 1)) AS u(j)),
+pair AS (SELECT k, i, j FROM ex JOIN pr USING (k) WHERE CASE WHEN len(e) + len(p) = 0 THEN 0
+  ELSE 2.0 * list_sum(list_transform(list_distinct(e), lambda w: least(len(list_filter(e, lambda x: x = w)), len(list_filter(p, lambda x: x = w))))) / (len(e) + len(p)) END >= 0.5),
+ways AS (SELECT k, 0 AS i, 0 AS n, [0]::BIGINT[] AS used FROM cases
+  UNION ALL SELECT ways.k, ways.i + 1, CASE WHEN pair.j IS NULL THEN n ELSE n + 1 END, CASE WHEN pair.j IS NULL THEN used ELSE list_append(used, pair.j) END
+  FROM ways JOIN cases ON cases.k = ways.k AND ways.i < len(expected)
+  LEFT JOIN (SELECT k, i, j FROM pair UNION ALL SELECT k, unnest(range(1, len(ps) + 1)), NULL FROM cases) AS pair ON pair.k = ways.k AND pair.i = ways.i + 1
+  WHERE pair.j IS NULL OR NOT list_contains(used, pair.j))
+SELECT k, any_value(len(expected)) AS n_expected, any_value(len(ps)) AS n_predicted, max(n)::BIGINT AS n_matched, any_value(len(ps) > len(expected)) AS over_split
+FROM ways JOIN cases USING (k) GROUP BY k""")
 def intent_matching(spark, sf):
-    return intents.matched(_requests(spark).withColumn("predicted", intents.decompose(F.col("q"))), "k", "expected", "predicted")
-
-
-@query()
+    """Parts against the same in another order, all but one with a word more."""
+    cases = intents.with_parts(_requests(spark, sf), "q")
+    expected = F.transform("parts", lambda p, i: F.when(i == 0, F.element_at("parts", -1)).otherwise(F.concat(F.get("parts", i - 1), F.lit(" "), F.col("k"))))
+    return intents.with_matching(cases.withColumn("expected", expected), "expected", "parts").select("k", "n_expected", "n_predicted", "n_matched", "over_split")
+
+
+def _terms_sql(text: str) -> str:
+    stops = ", ".join(f"'{w}'" for w in CONTENT_STOPWORDS)
+    return f"list_distinct(list_filter(list_transform(regexp_extract_all({text}, '[A-Za-z0-9_]+'), lambda t: lower(t)), lambda t: length(t) > 2 AND t NOT IN ({stops})))"
+
+
+#: What users ask after their first words, by the place of the turn: references of all kinds.
+ASIDES = ("Is this clinic open?", "What is its fee?", "Does the program apply?", "How does it work?", "Show those camp facilities", "SDK best practices?", "")
+ASIDE = "CASE (conv_id + turn / 2) % 7 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(ASIDES)) + " END"
+SAID = "CASE WHEN (conv_id + turn) % 5 = 0 THEN 'The clinic and its program have campgrounds. ' ELSE '' END"
+
+
+@query(rf"""WITH said AS (SELECT conv_id, turn, role, {SAID} || coalesce(text, '') AS text FROM conversations),
+h AS (SELECT *, list(struct_pack(role := role, text := text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS l FROM said),
+t AS (SELECT conv_id || '-' || turn AS key, {ASIDE.replace("turn / 2", "turn // 2")} || CASE WHEN turn % 3 = 0 THEN '' ELSE ' ' || coalesce(regexp_extract_all(text, '[A-Za-z0-9_]+')[1], '') END AS q, coalesce(l, []) AS l FROM h WHERE role = 'user'),
+c AS (SELECT *, array_to_string(list_transform(l, lambda x: x.text), ' ') AS ctx FROM t),
+d AS (SELECT *, {_terms_sql("q")} AS own, {_terms_sql("ctx")} AS about, trim(ctx) = '' AS silent, regexp_extract(q, '{intents.POINTING}', 1) || regexp_extract(q, '{intents.POINTING}', 2) AS pointed FROM c),
+s AS (SELECT *, list_distinct(list_transform({_terms_sql("pointed")}, lambda x: CASE WHEN x LIKE '%ies' THEN regexp_replace(x, 'ies$', 'y') ELSE rtrim(x, 's') END)) AS ph,
+  list_transform(about, lambda x: CASE WHEN x LIKE '%ies' THEN regexp_replace(x, 'ies$', 'y') ELSE rtrim(x, 's') END) AS sd FROM d),
+u AS (SELECT *, CASE WHEN len(ph) > 1 THEN list_filter(ph, lambda x: x <> 'facility') ELSE ph END AS need, CASE WHEN list_has_any(sd, ['camping', 'campground']) THEN list_append(sd, 'camp') ELSE sd END AS have,
+  regexp_extract(q, '(?is)^(.*?){intents.PRONOUN[4:]}', 1) AS ahead, coalesce(l[1].text, '') AS asked, coalesce(l[2].text, '') AS told FROM s),
+v AS (SELECT *, {_terms_sql("asked")} AS ta, list_intersect({_terms_sql("asked")}, {_terms_sql("told")}) AS tc,
+  list_filter(regexp_extract_all(asked, '[A-Za-z0-9_]+'), lambda x: length(x) >= 3 AND upper(x) = x AND lower(x) <> x) AS caps FROM u)
+SELECT key, CASE WHEN pointed <> '' THEN silent OR len(list_filter(need, lambda x: NOT list_contains(have, x))) > 0
+  ELSE (regexp_matches(q, '{intents.PRONOUN}') AND len({_terms_sql("ahead")}) < 2 AND NOT list_has_any(own, about)
+        AND NOT coalesce(len(l) = 2 AND l[1].role = 'user' AND l[2].role IN ('agent', 'assistant') AND len(list_filter(own, lambda x: x NOT IN ({", ".join(f"'{x}'" for x in intents.ROUTINE)}))) = 0
+             AND (len(tc) >= 2 OR (len(ta) BETWEEN 1 AND 2 AND len(tc) = len(ta)) OR list_has_any(caps, regexp_extract_all(told, '[A-Za-z0-9_]+'))), false))
+    OR (regexp_matches(q, '(?i)\bsdk\b') AND len(list_filter(own, lambda x: x NOT IN ('sdk', 'best', 'practices'))) = 0 AND silent) END AS unresolved FROM v""")
 def clarification(spark, sf):
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-2, -1)
-    c = table(spark, sf, "conversations").withColumn("ctx", F.collect_list(F.struct("role", "text")).over(w))
-    keyed = c.where("role = 'user'").withColumn("key", F.concat_ws("-", "conv_id", "turn"))
-    return intents.needs_clarification(keyed, "key", "text", "ctx")
+    said = table(spark, sf, "conversations").withColumn("text", F.concat(F.expr(SAID), F.coalesce("text", F.lit(""))))
+    c = said.withColumn("ctx", F.collect_list(F.struct("role", "text")).over(w)).where("role = 'user'")
+    first = F.coalesce(F.get(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)), F.lit(0)), F.lit(""))
+    asked = F.concat(F.expr(ASIDE.replace("turn / 2", "turn div 2")), F.when(F.col("turn") % 3 == 0, "").otherwise(F.concat(F.lit(" "), first)))
+    keyed = c.select(F.concat_ws("-", "conv_id", "turn").alias("key"), asked.alias("q"), "ctx")
+    return intents.with_open_reference(keyed, "q", "ctx").select("key", "unresolved")
 
 
 ROUTED = [(1, "why is it slow", 3, True, False), (2, "fee for parking", 0, True, False), (3, "opening hours and where to park", 2, True, True), (4, "opening hours", 2, True, False), (5, "opening hours", 2, False, False), (6, "does that apply", 1, True, False)]

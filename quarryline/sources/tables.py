@@ -21,12 +21,12 @@ def page_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.coalesce("url", F.lit("")).alias("url"), text.alias("text"))
 
 
-def tasks(spark: SparkSession, sf_dir: str, terms: int = 12) -> DataFrame:
-    """(task_id, query, full): the benchmark items, each asking with its first tokens."""
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(task_id, query, full): the benchmark items, each asking with all its tokens."""
     from quarryline.functions.text import tokens
 
     items = table(spark, sf_dir, "benchmark")
-    return items.select(F.col("item_id").alias("task_id"), F.array_join(F.slice(tokens(F.col("text")), 1, terms), " ").alias("query"), F.col("text").alias("full"))
+    return items.select(F.col("item_id").alias("task_id"), F.array_join(tokens(F.coalesce("text", F.lit(""))), " ").alias("query"), F.col("text").alias("full"))
 
 
 def chunks(spark: SparkSession, sf_dir: str, step: int = 4, interval: float = 0.8) -> DataFrame:

@@ -68,14 +68,39 @@ def test_empty_tables(spark):
     assert evidence.answers(asked, evidence.evidence(asked, none.selectExpr("1L task_id", "id", "text", "1.0D score", "1L rank"))).first().answer == evidence.ABSTENTION
 
 
-def test_requests_and_references():
-    assert intents.split_request("How and when do offices open?") == ["How do offices open", "when do offices open"]
-    assert intents.split_request("salt and pepper") == ["salt and pepper"]
-    assert intents.unresolved("what is its fee", []) and not intents.unresolved("what is the storage quota and how do I raise it", [])
-    assert intents.unresolved("is this clinic open", [("user", "the library"), ("agent", "yes")])
-    assert not intents.unresolved("is this clinic open", [("user", "the clinic downtown"), ("agent", "the clinic")])
-    assert intents.match_intents(["alpha beta", "gamma delta"], ["gamma delta", "alpha"], 0.5) == [(0, 1), (1, 0)]
-    assert intents.defines("what is a quota", "A quota is a limit on use.") and not intents.defines("what is a quota", "You may raise limits.")
+def test_requests_and_references(spark):
+    asked = {
+        "How and when do offices open?": ["How do offices open", "when do offices open"],
+        "salt and pepper": ["salt and pepper"],
+        "What is Cloud Run and how do I deploy it?": ["What is Cloud Run", "how do I deploy Cloud Run"],
+        "Reset the router; also, where is the log?": ["Reset the router", "where is the log"],
+        "When was X released and when was Y released in 2021": ["When was X released in 2021", "when was Y released in 2021"],
+        "one . two . three . four . five": ["one", "two", "three", "four"],
+        "What is A$1\\b and why is it so?": ["What is A$1\\b", "why is A$1\\b so"],
+        "": [""],
+    }
+    rows = spark.createDataFrame([(q,) for q in [*asked, None]], "q string")
+    got = {r.q: r.parts for r in intents.with_parts(rows, "q").collect()}
+    assert got == asked | {None: [""]}
+    turns = [
+        ("what is its fee", [], True),
+        ("what is the storage quota and how do I raise it", [], False),
+        ("is this clinic open", [("user", "the library"), ("agent", "yes")], True),
+        ("is this clinic open", [("user", "the clinic downtown"), ("agent", "the clinic")], False),
+        ("how does it work", [("user", "the VPN gateway"), ("agent", "The VPN gateway is up.")], False),
+        ("how does it work", [("user", "parking in town"), ("agent", "I don't know.")], True),
+        ("SDK best practices", None, True),
+    ]
+    rows = spark.createDataFrame([(i, q, t) for i, (q, t, _) in enumerate(turns)], "i int, q string, t array<struct<role string, text string>>")
+    got = {r.i: r.unresolved for r in intents.with_open_reference(rows, "q", "t").collect()}
+    assert got == {i: x for i, (_, _, x) in enumerate(turns)}
+    cases = [(1, ["alpha beta", "gamma delta"], ["gamma delta", "alpha"]), (2, ["one thing"], ["other words", "one thing", "one"]), (3, [], ["x"]), (4, None, None)]
+    got = {r.k: (r.n_expected, r.n_predicted, r.n_matched, r.over_split) for r in intents.with_matching(spark.createDataFrame(cases, "k int, e array<string>, p array<string>"), "e", "p").collect()}
+    assert got == {1: (2, 2, 2, False), 2: (1, 3, 1, True), 3: (0, 1, 0, True), 4: (0, 0, 0, False)}
+    pairs = [("what is a quota", "A quota is a limit on use.", True), ("what is a quota", "You may raise limits.", False), ("what is the price", "Anything.", True), ("define drone", "Small flying robots are called drone.", True), ("open the door", "Yes.", True)]
+    rows = spark.createDataFrame([(i, q, t) for i, (q, t, _) in enumerate(pairs)], "i int, q string, t string")
+    got = {r.i: r.d for r in rows.select("i", intents.defines(F.col("q"), F.col("t")).alias("d")).collect()}
+    assert got == {i: x for i, (_, _, x) in enumerate(pairs)}
 
 
 def test_encoder_reranker_and_client(spark):
