@@ -59,6 +59,14 @@ def _delete(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now; it does so when their plans are collected as garbage."""
+    gc.collect()
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Delete the stage tables made inside when it ends, but for those given to what it yields."""

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quarryline.llm import simhash, wordbpe
 from quarryline.llm.components import components
-from quarryline.llm.runtime import discard, releasing, scratch, stage_table
+from quarryline.llm.runtime import discard, drop_shuffles, releasing, scratch, stage_table
 
 WIDTH = 5
 SIMILAR = (4, 5)  # numerator and denominator of the least similarity
@@ -215,19 +215,25 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def near(sets: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, root) of the groups that similar ``sets`` (node, size, fp, keys, bytes) make; node is the number in ``rows`` (row, text) of a text with the set."""
-    keyed = sets.select("node", "size", "keys", "bytes", F.explode("keys").alias("key"))
+    spark = sets.sparkSession
+    keyed = sets.select("node", "size", F.explode("keys").alias("key"))
     several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     shared = stage_table(keyed.join(several, "key"), "near-keys")
+    drop_shuffles(spark)
     links = similar(stage_table(_fingerprint_links(sets).distinct(), "near-pairs"), rows)
     for turn in range(2):
         found = stage_table(components(links), "near-roots")
         placed = shared.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
         links = links.unionAll(similar(stage_table(_with_leads(placed, turn).distinct(), "near-pairs"), rows))
+        discard(found)
+        drop_shuffles(spark)
     found = stage_table(components(links), "near-roots")
     placed = shared.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    mixed = stage_table(placed.join(mixed, "key"), "near-mixed")
-    discard(shared)
+    mixed = placed.join(mixed, "key").join(sets.select("node", "keys", "bytes"), "node").select("key", "node", "size", "root", "keys", "bytes")
+    mixed = stage_table(mixed, "near-mixed")
+    discard(shared, found)
+    drop_shuffles(spark)
     return components(links.unionAll(stage_table(_joined(mixed, rows), "near-links")))
 
 

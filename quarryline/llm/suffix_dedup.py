@@ -23,7 +23,6 @@ are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from dataclasses import dataclass
 
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm import wordbpe
-from quarryline.llm.runtime import discard, releasing, stage_table
+from quarryline.llm.runtime import discard, drop_shuffles, releasing, stage_table
 
 TILE = 1 << 19
 _POWERS: list[np.ndarray] = []
@@ -317,12 +316,6 @@ def _divided(parts: DataFrame, rule: Repeats, cell: int) -> DataFrame:
     return parts.mapInArrow(run, "key long, whole long, row long, at long, n long, anchor_at int, around binary")
 
 
-def _free(spark) -> None:
-    """Let Spark drop the shuffle files of finished jobs now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_spans(rows: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
     """(row, spans): pairs lo, hi such that every window that starts in lo..hi of the row's text is repeated, for ``rows`` (row, text)."""
     spark = rows.sparkSession
@@ -331,13 +324,13 @@ def repeated_spans(rows: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
     often = stage_table(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "repeat-anchors")
     shared = stage_table(found.join(often, "anchor"), "repeat-blocks")
     discard(often)
-    _free(spark)
+    drop_shuffles(spark)
     classes = shared.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "lo", "shape")).alias("one"))
     classes = stage_table(classes, "repeat-classes")
     sure = shared.join(classes.where("n > 1").select("anchor", "whole"), ["anchor", "whole"]).select("row", "lo", (F.col("lo") + F.col("shape").bitwiseAND(F.lit(4095))).alias("hi"))
     spans = [stage_table(sure, "repeat-spans")]
     discard(shared)
-    _free(spark)
+    drop_shuffles(spark)
     groups = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single")).where("blocks > 1 AND single > 0").select("anchor", "blocks")
     open_ = classes.join(groups, "anchor").select(F.col("one.row").alias("row"), F.struct("one.lo", "one.shape", "anchor", "n", "blocks").alias("b"))
     by_row = open_.groupBy("row").agg(F.collect_list("b").alias("bs"))
@@ -356,7 +349,7 @@ def repeated_spans(rows: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
 
     parts = stage_table(by_row.join(rows, "row").select("row", "bs", "text").mapInArrow(releasing(cut), PART + ", blocks long"), "repeat-parts")
     discard(classes)
-    _free(spark)
+    drop_shuffles(spark)
     names = [c.split()[0] for c in PART.split(", ")]
     spans += [stage_table(_sorted_spans(parts.where(F.col("blocks") <= rule.group).select(*names), rule), "repeat-spans")]
     crowded = parts.where(F.col("blocks") > rule.group).select(*names)
@@ -381,7 +374,7 @@ def repeated_spans(rows: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
         out = out.unionAll(s)
     out = stage_table(out.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "repeat-spans")
     discard(parts, *spans)
-    _free(spark)
+    drop_shuffles(spark)
     return out
 
 
