@@ -80,3 +80,19 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).select("doc_id").collect()} >= {7}
+
+
+def test_stages_take_empty_tables_nulls_and_extra_columns(spark, tmp_path):
+    rows = [(1, "a b c d e f " * 20, "en", "s", 5, 1), (1, "a b c d e f " * 20, "en", "s", 5, 2), (None, None, None, None, None, 3), (3, "", "en", "s", 0, 4), (4, "x" * 300_000, None, "s", 1, 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row long"
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for n, some in (("all", rows), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{n}.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{n}.parquet")
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name == "packing":
+                assert (out.count() == 0) == (n == "none")
+            else:
+                assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+                assert out.count() == (0 if n == "none" else 3 if name == "near_duplicates" else 5)
