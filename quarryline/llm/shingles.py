@@ -33,8 +33,8 @@ SIMILAR = (4, 5)  # numerator and denominator of the least similarity
 ROWS, BANDS = 5, 24
 #: Of the ROWS * BANDS min-hashes, how many must agree for an exact comparison: the mean at 0.8 less 4.8 deviations.
 AGREE = 75
-#: Sets of a key in a block; a task compares two blocks at a time.
-BLOCK = 512
+#: Sets and shingles of a key that make a block; a task compares two blocks at a time.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -150,7 +150,8 @@ def _joined(mixed: DataFrame, rows: DataFrame) -> DataFrame:
     The sets of a key are dealt into blocks; a task holds two of them, with their texts, and gives only
     the links that join what is still apart in it. A pair is compared under its first common key.
     """
-    sized = mixed.join(mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "key")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    sized = mixed.join(mixed.groupBy("key").agg(blocks.alias("blocks")), "key")
     own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
     texts = sized.join(rows.select(F.col("row").alias("node"), F.coalesce("text", F.lit("")).alias("text")), "node")
     dealt = texts.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
