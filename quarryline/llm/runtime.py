@@ -67,30 +67,6 @@ def drop_shuffles(spark: SparkSession) -> None:
         jvm.System.gc()
 
 
-class Leftovers:
-    """Stage tables that results handed out still read; they go once a later input no longer reads them."""
-
-    def __init__(self):
-        self.paths: list[str] = []
-
-    @contextmanager
-    def collecting(self, later: DataFrame):
-        """Delete the tables left before unless ``later`` reads them, then note those made inside."""
-        if self.paths:
-            read = later.inputFiles()
-            for path in [p for p in self.paths if not any(path_part(p) in f for f in read)]:
-                _delete(later.sparkSession, path)
-                self.paths.remove(path)
-        before = set(_TABLES)
-        yield
-        self.paths += [p for p in _TABLES if p not in before]
-
-
-def path_part(path: str) -> str:
-    """The last part of a path, which has a random name."""
-    return path.rsplit("/", 1)[-1]
-
-
 @contextmanager
 def scratch(spark: SparkSession):
     """Delete the stage tables made inside when it ends, but for those given to what it yields."""

@@ -96,3 +96,13 @@ def test_stages_take_empty_tables_nulls_and_extra_columns(spark, tmp_path):
             else:
                 assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
                 assert out.count() == (0 if n == "none" else 3 if name == "near_duplicates" else 5)
+
+
+def test_results_outlive_later_calls(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        first = stage(spark, docs, folder)
+        second = stage(spark, docs.where("doc_id > 5"), folder)
+        assert second.count() >= 0 and first.count() > 0
+    one, two = corpus_pipeline.run(spark, folder), corpus_pipeline.run(spark, folder)
+    assert one.count() == two.count() > 0
