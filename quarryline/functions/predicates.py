@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarryline.functions.text import curation_tokens
+from quarryline.functions.text import content_terms, curation_tokens, current_question
 
 #: Requests about delivery rather than content.
 PRESENTATION = (
@@ -105,22 +105,125 @@ def abstains(answer: Column) -> Column:
 
 
 #: Codes of state hosts, and their states.
-STATES = (
-    "al:Alabama|ak:Alaska|az:Arizona|ar:Arkansas|ca:California|co:Colorado|ct:Connecticut|de:Delaware|fl:Florida|ga:Georgia|"
-    "hi:Hawaii|id:Idaho|il:Illinois|in:Indiana|ia:Iowa|ks:Kansas|ky:Kentucky|la:Louisiana|me:Maine|md:Maryland|ma:Massachusetts|"
-    "mi:Michigan|mn:Minnesota|ms:Mississippi|mo:Missouri|mt:Montana|ne:Nebraska|nv:Nevada|nh:New Hampshire|nj:New Jersey|"
-    "nm:New Mexico|ny:New York|nc:North Carolina|nd:North Dakota|oh:Ohio|ok:Oklahoma|or:Oregon|pa:Pennsylvania|ri:Rhode Island|"
-    "sc:South Carolina|sd:South Dakota|tn:Tennessee|tx:Texas|ut:Utah|vt:Vermont|va:Virginia|wa:Washington|wv:West Virginia|"
-    "wi:Wisconsin|wy:Wyoming"
-)
+STATES = {
+    "al": "Alabama",
+    "ak": "Alaska",
+    "az": "Arizona",
+    "ar": "Arkansas",
+    "ca": "California",
+    "co": "Colorado",
+    "ct": "Connecticut",
+    "de": "Delaware",
+    "fl": "Florida",
+    "ga": "Georgia",
+    "hi": "Hawaii",
+    "id": "Idaho",
+    "il": "Illinois",
+    "in": "Indiana",
+    "ia": "Iowa",
+    "ks": "Kansas",
+    "ky": "Kentucky",
+    "la": "Louisiana",
+    "me": "Maine",
+    "md": "Maryland",
+    "ma": "Massachusetts",
+    "mi": "Michigan",
+    "mn": "Minnesota",
+    "ms": "Mississippi",
+    "mo": "Missouri",
+    "mt": "Montana",
+    "ne": "Nebraska",
+    "nv": "Nevada",
+    "nh": "New Hampshire",
+    "nj": "New Jersey",
+    "nm": "New Mexico",
+    "ny": "New York",
+    "nc": "North Carolina",
+    "nd": "North Dakota",
+    "oh": "Ohio",
+    "ok": "Oklahoma",
+    "or": "Oregon",
+    "pa": "Pennsylvania",
+    "ri": "Rhode Island",
+    "sc": "South Carolina",
+    "sd": "South Dakota",
+    "tn": "Tennessee",
+    "tx": "Texas",
+    "ut": "Utah",
+    "vt": "Vermont",
+    "va": "Virginia",
+    "wa": "Washington",
+    "wv": "West Virginia",
+    "wi": "Wisconsin",
+    "wy": "Wyoming",
+}
 
 
 def jurisdiction_fits(question: Column, url: Column) -> Column:
     """Whether a source may answer: a state's host doesn't if the question names one other state only; va.gov is federal."""
     host = F.lower(F.coalesce(F.call_function("try_parse_url", url, F.lit("HOST")), F.lit("")))
     code = F.regexp_extract(host, r"(?:^|\.)([a-z]{2})\.gov$", 1)
-    names = F.create_map(*[F.lit(x) for pair in STATES.split("|") for x in pair.split(":")])
+    names = F.create_map(*[F.lit(x) for pair in STATES.items() for x in pair])
     own = F.try_element_at(names, code)
     asked = F.filter(F.map_values(names), lambda s: F.regexp_like(question, F.concat(F.lit(r"(?i)\b"), s, F.lit(r"\b"))))
     other = own.isNotNull() & (F.size(asked) == 1) & ~F.array_contains(asked, own)
     return ~((code != "va") & F.coalesce(other, F.lit(False)))
+
+
+#: Verbs that begin a step of a procedure, and those that ask for one.
+STEP_VERBS = ("edit", "append", "close", "save", "restart", "configure", "select", "choose", "open", "run", "use", "click", "complete", "create", "submit")
+SET_UP_VERBS = ("configure", "install", "setup", "apply", "enable")
+#: Words by which a sentence gives a reason, and compares.
+REASONS = ("because", "due to", "reason", "purpose", "so that", "in order to", "protect", "prevent", "ensure", "allow", "enable", "designed to", "helps?", "gain insight")
+COMPARISONS = ("same", "different", "similar", "differ", "unlike", "whereas", "versus", "compared", "equivalent", "not identical")
+#: Words that tell no compared things apart.
+GENERIC = ("object", "storage", "cloud", "service", "platform", "product", "same", "different", "similar", "differ", "compared")
+PHONE_ASKED = r"(?i)\b(?:phone|telephone|tele|tel)\s*(?:number|no\b)|\bphone\s+number\b"
+PHONE = r"(?:^|[^0-9])(?:\+?1[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?:[^0-9]|$)"
+
+
+def any_word(words: tuple[str, ...]) -> str:
+    return r"\b(?:" + "|".join(words) + r")\b"
+
+
+def answer_shape(question: Column, sentence: Column) -> Column:
+    """Whether a sentence has the dates of the question, and a telephone number if it asks for one."""
+    return dates_kept(question, sentence) & (~question.rlike(PHONE_ASKED) | sentence.rlike(PHONE))
+
+
+def shared_stems(terms: Column, others: Column) -> Column:
+    """How many of ``terms`` are among ``others``; one of five characters or more also if either begins with the other."""
+    fits = lambda t: F.exists(others, lambda o: (t == o) | ((F.length(t) >= 5) & (t.startswith(o) | o.startswith(t))))
+    return F.size(F.filter(terms, fits))
+
+
+def steps_towards(query: Column, sentence: Column, source: Column) -> Column:
+    """Whether a sentence is an instruction of the procedure asked for, whose subject only its source names."""
+    asked = current_question(query)
+    about = lambda text: F.filter(content_terms(text), lambda t: ~t.isin(*SET_UP_VERBS))
+    own = about(asked)
+    context = F.when(F.contains(query, F.lit(" Current question:")), about(F.substring_index(query, " Current question:", 1)))
+    topic = F.when((F.size(own) < 2) & context.isNotNull(), context).otherwise(own)
+    asks = asked.rlike(r"(?i)\bhow\b.*\b(?:configure|install|setup|set up|apply|enable)\b")
+    instructs = sentence.rlike(rf"(?i)^\s*(?:(?:step\s+)?[0-9]+[.:)]\s*)?(?:{'|'.join(STEP_VERBS)})\b")
+    return asks & instructs & (F.size(F.array_intersect(topic, content_terms(source))) >= 2)
+
+
+def answers_relation(question: Column, sentence: Column) -> Column:
+    """Whether a sentence gives what the question asks for: a reason, a comparison of its things, a contact, one count."""
+    from quarryline.operators.intents import defines
+
+    q, s = F.lower(question), F.lower(sentence)
+    numbers = F.size(F.regexp_extract_all(s, F.lit(r"\b[0-9]+(?:\.[0-9]+)?\b"), F.lit(0)))
+    bare_counts = q.rlike(r"\bhow many\b") & (numbers > 1) & (word_count(s) <= 10) & ~s.rlike(any_word(("is", "are", "includes", "allows", "per", "each", "for")))
+    compares = q.rlike(r"\b(?:same or different|same\s*/\s*different|the same|different from|similar to|compared with)\b")
+    things = F.array_except(content_terms(F.when(F.contains(q, F.lit(" if ")), F.substring_index(q, " if ", -1)).otherwise(q)), F.array(*map(F.lit, GENERIC)))
+    compared = s.rlike(any_word(COMPARISONS)) & (F.size(things) >= 2) & (shared_stems(things, content_terms(sentence)) == F.size(things))
+    contact = q.rlike(r"\b(?:who do i call|whom should i call|how do i contact|who should i contact)\b")
+    kind = (
+        F.when(q.rlike(any_word(("why", "reason", "purpose", "cause"))), s.rlike(any_word(REASONS)))
+        .when(compares, compared)
+        .when(contact, s.rlike(any_word(("call", "contact", "phone", "email", "hotline", "number"))))
+        .otherwise(True)
+    )
+    return defines(question, sentence) & ~bare_counts & kind

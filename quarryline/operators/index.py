@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.functions.numeric import cosine
 from quarryline.functions.text import tokens
 
 
@@ -51,25 +50,6 @@ def bm25(passages: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2, b
     return ranked(scores, ["task_id"], F.col("score"), k)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, group: str | None = None, block: int = 512) -> DataFrame:
-    """(query_id, id, score, rank) by cosine of every vector with every query vector.
-
-    ``vectors`` has id and embedding, ``queries`` query_id and embedding; with ``group`` both have that
-    column and only equal groups meet. Otherwise the stated queries are dealt into blocks of about
-    ``block``, and every vector goes to each block once.
-    """
-    q = queries.select("query_id", F.col("embedding").alias("qv"), *([F.col(group).alias("_g")] if group else []))
-    if group:
-        pairs = vectors.join(q, F.col(group) == F.col("_g"))
-    else:
-        n = max(1, -(-q.count() // block))
-        dealt = vectors.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        pairs = dealt.join(q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")), "_block")
-    pairs = pairs.where(F.col("id") != F.col("query_id"))
-    scores = pairs.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("qv")), 6).alias("score"))
-    return ranked(scores, ["query_id"], F.col("score"), k)
-
-
 def weighted_rrf(dense_hits: DataFrame, sparse_hits: DataFrame, key: str, k: int = 60, sparse_weight: float = 0.35, limit: int = 5) -> DataFrame:
     """(key, id, score, dense_rank, sparse_rank, rank): both rank lists fused by reciprocal rank."""
     d = dense_hits.select(key, "id", F.col("rank").alias("dense_rank"), F.lit(None).cast("long").alias("sparse_rank"))

@@ -65,8 +65,8 @@ def _ready(kind: str, name: str, factory: Callable) -> Callable:
     return _READY[key]
 
 
-def encode(df: DataFrame, key: str, text: str, backend: str = "hash128") -> DataFrame:
-    """(key, embedding) by a registered encoder; an unknown one falls back to hashing."""
+def encode(df: DataFrame, key: str, text: str, backend: str = "hash128", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, embedding) by a registered encoder, and the columns to ``carry``; an unknown encoder falls back to hashing."""
     name = backend if backend in ENCODERS else "hash128"
     factory = ENCODERS[name]
     kind = df.schema[key].dataType.simpleString()
@@ -75,9 +75,10 @@ def encode(df: DataFrame, key: str, text: str, backend: str = "hash128") -> Data
         model = _ready("encoder", name, factory)
         for b in batches:
             vectors = model([t or "" for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(vectors), pa.list_(pa.float64()))], [key, "embedding"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(vectors), pa.list_(pa.float64())), *b.columns[2:]], [key, "embedding", *carry])
 
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, embedding array<double>")
+    also = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in carry)
+    return df.select(key, text, *carry).mapInArrow(run, f"{key} {kind}, embedding array<double>{also}")
 
 
 def overlap_scorer():

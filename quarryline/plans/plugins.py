@@ -12,6 +12,7 @@ from quarryline.plans.base import BM25, TOKENS, query, values
 from quarryline.plans.search import sparse_hits
 from quarryline.plans.transcripts import DECIDED
 from quarryline.session import shared_folder
+from quarryline.sources.indexes import passage_vectors
 from quarryline.sources.tables import chunks, passages, table, tasks
 from quarryline.streaming import stateful
 
@@ -29,9 +30,8 @@ def hash_embedding_md5(spark, sf):
 
 @query()
 def dense_hash_topk(spark, sf):
-    docs = models.encode(passages(spark, sf), "id", "text")
     asked = models.encode(tasks(spark, sf), "task_id", "query").withColumnRenamed("task_id", "query_id")
-    return index.dense(docs, asked)
+    return passage_vectors(spark, sf).search(asked, own=False)
 
 
 @query(f"""WITH {BM25}, c AS (SELECT task_id, s.id, s.rank AS old_rank, round(len(list_intersect(list_distinct({TOKENS.format('query')}), list_distinct({TOKENS.format("coalesce(d.text, '')")})))
@@ -160,15 +160,6 @@ def clarification(spark, sf):
     return intents.with_open_reference(keyed, "q", "ctx").select("key", "unresolved")
 
 
-ROUTED = [(1, "why is it slow", 3, True, False), (2, "fee for parking", 0, True, False), (3, "opening hours and where to park", 2, True, True), (4, "opening hours", 2, True, False), (5, "opening hours", 2, False, False), (6, "does that apply", 1, True, False)]
-
-
-@query("SELECT * FROM (VALUES (1, 'reasoning', true), (2, 'no passages', false), (3, 'compound', true), (4, 'direct', false), (5, 'no direct evidence', true), (6, 'context', true)) AS t(k, why, to_provider)")
-def provider_routing(spark, sf):
-    rows = spark.createDataFrame([(k, q if k != 3 else "opening hours and where can I park", n, d, m) for k, q, n, d, m in ROUTED], "k int, query string, n_hits int, direct boolean, multi_intent boolean")
-    return V.route(rows).select("k", "why", "to_provider")
-
-
 REFINED = [
     (1, "The fee is ten dollars. Parking is free.", "The fee is five dollars for seniors.", "only for seniors", "Parking is free. The fee is five dollars for seniors."),
     (2, "The fee is ten dollars.", "Dogs are welcome.", "what about dogs", "The fee is ten dollars.\n\nDogs are welcome."),
@@ -198,7 +189,7 @@ def procedural_steps(spark, sf):
     return spark.createDataFrame([r[:2] for r in STEPS], "k int, s string").select("k", F.array_join(V.procedure(F.col("s")), "|").alias("steps"))
 
 
-def _drained(spark, made, schema_of, name: str, watch=None):
+def drained(spark, made, schema_of, name: str, watch=None):
     """Write rows as files, run a streaming operator over them to their end, and return its output table."""
     source, out, mark = (shared_folder(spark, f"{name}-{x}") for x in ("in", "out", "mark"))
     made.write.parquet(source)
@@ -212,7 +203,7 @@ def _drained(spark, made, schema_of, name: str, watch=None):
 @query(f"WITH {DECIDED} SELECT stream_id, idx, committed, decision FROM dec")
 def stateful_controller(spark, sf):
     made = chunks(spark, sf).select("stream_id", "idx", "text", "is_final").repartition(4, "stream_id")
-    return _drained(spark, made, stateful.controller, "controller")
+    return drained(spark, made, stateful.controller, "controller")
 
 
 @query("""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS version, trim(text) AS d FROM conversations WHERE role = 'assistant' AND trim(coalesce(text, '')) <> '')
@@ -220,7 +211,7 @@ SELECT session_id, version, version - 1 AS previous_version, string_agg(d, chr(1
 def session_versions(spark, sf):
     turns = table(spark, sf, "conversations").where("role = 'assistant'")
     made = turns.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), F.col("text").alias("delta"), F.lit(False).alias("replaces"))
-    return _drained(spark, made, stateful.session_answers, "session")
+    return drained(spark, made, stateful.session_answers, "session")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

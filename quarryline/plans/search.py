@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarryline.functions.text import content_terms, expand_query, tokens
-from quarryline.operators import index
+from quarryline.functions.text import content_terms, expand_query
+from quarryline.operators import index, models
 from quarryline.plans.base import BM25, INDEX, TASKS, TOKENS, query
-from quarryline.sources.tables import passages, table, tasks
+from quarryline.sources.indexes import page_index, passage_index, passage_vectors, vector_index
+from quarryline.sources.tables import table, tasks
 
 
 @query(f"SELECT doc_id, len(ts) AS n_tokens, len(list_distinct(ts)) AS n_distinct FROM (SELECT doc_id, {TOKENS.format('text')} AS ts FROM documents)")
 def tokenize_stats(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", tokens(F.col("text")).alias("ts"))
-    return t.select("doc_id", F.size("ts").cast("long").alias("n_tokens"), F.size(F.array_distinct("ts")).cast("long").alias("n_distinct"))
+    return passage_index(spark, sf).passages().select(F.col("id").alias("doc_id"), F.col("dl").alias("n_tokens"), F.col("n_terms").alias("n_distinct"))
 
 
 STOPS = "['" + "','".join(__import__("quarryline.functions.text", fromlist=["x"]).CONTENT_STOPWORDS) + "']"
@@ -26,22 +26,21 @@ def content_terms_of_items(spark, sf):
 
 @query(f"WITH {INDEX} SELECT term, df FROM df")
 def term_doc_freq(spark, sf):
-    return index.document_frequency(index.postings(passages(spark, sf)))
+    return passage_index(spark, sf).terms().select("term", "df")
 
 
 @query(f"WITH {INDEX} SELECT term, max(tf) AS max_tf, sum(tf) AS total FROM post GROUP BY term HAVING count(*) >= 5")
 def term_frequency(spark, sf):
-    p = index.postings(passages(spark, sf))
-    return p.groupBy("term").agg(F.max("tf").alias("max_tf"), F.sum("tf").alias("total"), F.count(F.lit(1)).alias("_n")).where("_n >= 5").drop("_n")
+    return passage_index(spark, sf).terms().where("df >= 5").select("term", "max_tf", "total")
 
 
 @query(f"WITH {INDEX} SELECT domain, count(*) AS n, sum(dl) AS tokens, round(avg(dl), 6) AS mean_dl FROM dl GROUP BY domain")
 def doc_length_stats(spark, sf):
-    return index.lengths(passages(spark, sf)).groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("tokens"), F.round(F.avg("dl"), 6).alias("mean_dl"))
+    return passage_index(spark, sf).passages().groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("tokens"), F.round(F.avg("dl"), 6).alias("mean_dl"))
 
 
 def sparse_hits(spark, sf, k=30):
-    return index.bm25(passages(spark, sf), tasks(spark, sf), k)
+    return passage_index(spark, sf).search(tasks(spark, sf), k)
 
 
 @query(f"WITH {BM25} SELECT task_id, id, domain, score, rank FROM sparse WHERE rank <= 5")
@@ -52,12 +51,12 @@ def bm25_topk(spark, sf):
 @query(f"""WITH {BM25}, own AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, id) AS r FROM scores WHERE score > 0 AND domain = 'en')
 SELECT task_id, id, domain, score, r AS rank FROM own WHERE r <= 5""")
 def bm25_domain_topk(spark, sf):
-    return index.bm25(passages(spark, sf), tasks(spark, sf), 5, domain="en")
+    return passage_index(spark, sf).search(tasks(spark, sf), 5, domain="en")
 
 
 @query(f"WITH {BM25} SELECT task_id, id, score FROM scores WHERE score > 0")
 def bm25_scores(spark, sf):
-    return index.bm25(passages(spark, sf), tasks(spark, sf), 1 << 30).select("task_id", "id", "score")
+    return passage_index(spark, sf).scores(tasks(spark, sf)).select("task_id", "id", "score")
 
 
 VECTORS = """
@@ -78,7 +77,7 @@ def asked(spark, sf, n=20):
 @query(f"""WITH {VECTORS}, s AS (SELECT q.id AS query_id, a.id, {COSINE} AS score FROM u a JOIN u q ON q.id % 20 = 0 AND a.id <> q.id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, rank FROM k WHERE rank <= 5""")
 def cosine_topk(spark, sf):
-    return index.dense(vectors(spark, sf), asked(spark, sf))
+    return vector_index(spark, sf).search(asked(spark, sf))
 
 
 PREFILTER = f"""WITH {VECTORS}, s AS (SELECT q.id AS query_id, a.id, a.label AS al, {COSINE} AS score FROM u a JOIN u q ON q.id % 20 = 0 AND a.id <> q.id AND a.label = q.label),
@@ -87,14 +86,14 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 
 @query(f"{PREFILTER} SELECT query_id, id, score, rank FROM k WHERE rank <= 5")
 def dense_prefilter_topk(spark, sf):
-    return index.dense(vectors(spark, sf), asked(spark, sf), group="label")
+    return vector_index(spark, sf).search(asked(spark, sf).withColumnRenamed("label", "domain"), prefilter=True)
 
 
 @query(f"""WITH {VECTORS}, s AS (SELECT q.id AS query_id, q.label AS ql, a.id, a.label AS al, {COSINE} AS score FROM u a JOIN u q ON q.id % 20 = 0 AND a.id <> q.id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
 SELECT query_id, round(avg(CASE WHEN al = ql THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM k WHERE rank <= 5 GROUP BY query_id""")
 def knn_label_agreement(spark, sf):
-    hits = index.dense(vectors(spark, sf), asked(spark, sf))
+    hits = vector_index(spark, sf).search(asked(spark, sf))
     labels = vectors(spark, sf).select("id", F.col("label").alias("al"))
     own = vectors(spark, sf).select(F.col("id").alias("query_id"), F.col("label").alias("ql"))
     return hits.join(labels, "id").join(own, "query_id").groupBy("query_id").agg(F.round(F.avg(F.when(F.col("al") == F.col("ql"), 1.0).otherwise(0.0)), 6).alias("agreement"))
@@ -112,16 +111,46 @@ rrf AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, i
 
 
 def overlap_hits(spark, sf, k=30):
-    posts = index.postings(passages(spark, sf))
-    terms = tasks(spark, sf).select("task_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    s = posts.join(terms, "term").groupBy("task_id", "id").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    return index.ranked(s, ["task_id"], F.col("score"), k)
+    return index.ranked(passage_index(spark, sf).overlaps(tasks(spark, sf)), ["task_id"], F.col("score"), k)
 
 
 def hybrid(spark, sf, limit=5):
     return index.weighted_rrf(overlap_hits(spark, sf), sparse_hits(spark, sf), "task_id", limit=limit)
 
 
+def dense_hits(spark, sf, k=30, probes=None):
+    """The passages whose vectors are nearest to the tasks' expanded questions."""
+    asked = models.encode(tasks(spark, sf).select("task_id", expand_query(F.col("query")).alias("query")), "task_id", "query")
+    found = passage_vectors(spark, sf).search(asked.withColumnRenamed("task_id", "query_id"), k, probes, own=False)
+    return found.withColumnRenamed("query_id", "task_id")
+
+
+@query()
+def hybrid_search(spark, sf):
+    """Expanded questions over the stored postings and the stored vectors, both legs fused by reciprocal rank."""
+    asked = tasks(spark, sf).select("task_id", expand_query(F.col("query")).alias("query"))
+    return index.weighted_rrf(dense_hits(spark, sf), passage_index(spark, sf).search(asked, 30), "task_id")
+
+
+@query()
+def dense_probed_topk(spark, sf):
+    """The same vectors by near cells only: ten a question."""
+    return dense_hits(spark, sf, 5, probes=10)
+
+
+@query(f"""WITH p AS (SELECT page_id AS id, coalesce(html, '') AS h, coalesce(url, '') AS url FROM pages),
+d AS (SELECT id, {TOKENS.format("regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1) || ' ' || regexp_replace(h, '<[^>]*>', chr(10), 'g') || ' ' || array_to_string(regexp_extract_all(h, '(?i)href=\"([^\"]*)\"', 1), ' ')")} AS ts FROM p),
+post AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(ts) AS term FROM d) GROUP BY ALL), dl AS (SELECT id, len(ts) AS dl FROM d),
+corpus AS (SELECT count(*) AS n, greatest(coalesce(avg(dl), 0), 1) AS mean FROM dl), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+asked AS (SELECT task_id, term, count(*) AS qtf FROM (SELECT item_id AS task_id, unnest({TOKENS.format("coalesce(text, '')")}) AS term FROM benchmark) GROUP BY ALL),
+scores AS (SELECT task_id, post.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) * qtf), 6) AS score
+  FROM post JOIN asked USING (term) JOIN df USING (term) JOIN dl ON dl.id = post.id, corpus GROUP BY ALL)
+SELECT task_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, id) AS rank FROM scores WHERE score > 0) WHERE rank <= 5""")
+def page_bm25_topk(spark, sf):
+    """Web pages by title, text and link targets."""
+    return page_index(spark, sf).search(tasks(spark, sf), 5).select("task_id", "id", "score", "rank")
+
+
 @query(f"WITH {BM25}, {OVERLAP} SELECT task_id, id, score, dense_rank, sparse_rank, rank FROM rrf WHERE rank <= 5")
 def rrf_hybrid(spark, sf):
     return hybrid(spark, sf)

@@ -21,6 +21,15 @@ def page_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.coalesce("url", F.lit("")).alias("url"), text.alias("text"))
 
 
+def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, domain, title, text, links) of the web pages, all in one domain."""
+    html = F.coalesce("html", F.lit(""))
+    title = F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)
+    links = F.regexp_extract_all(html, F.lit('(?i)href="([^"]*)"'), F.lit(1))
+    text = F.regexp_replace(html, "<[^>]*>", "\n")
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("web").alias("domain"), title.alias("title"), text.alias("text"), links.alias("links"))
+
+
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(task_id, query, full): the benchmark items, each asking with all its tokens."""
     from quarryline.functions.text import tokens
