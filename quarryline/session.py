@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "quarryline", **conf: str) -> SparkSession:
@@ -20,6 +20,26 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quarryline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to a new table in the shared folder and read again: Spark then knows its size."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written` that nothing will read again; a client without a JVM of its own leaves them to whoever clears the folder."""
+    for t in tables:
+        jvm = getattr(t.sparkSession, "_jvm", None)
+        if jvm is not None:
+            at = jvm.org.apache.hadoop.fs.Path(t.stored_at)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

@@ -40,9 +40,10 @@ def test_blocks_that_cannot_matter_stay_closed(spark, corpus, tmp_path):
     docs, asked = corpus
     found = inverted.build(docs, str(tmp_path / "i"), inverted.Bm25(block=8))
     asked = asked.where("task_id IN (1, 5, 6)")
-    opened, all_ = found.reaching(asked, 3).count(), found.bounds(asked).count()
+    weights = found.weights(asked)
+    opened, all_ = found.reaching(weights, 3).count(), found.bounds(weights).count()
     assert opened < 0.6 * all_
-    bounds = {(r.task_id, r.domain, r.block): r.bound for r in found.bounds(asked).collect()}
+    bounds = {(r.task_id, r.domain, r.block): r.bound for r in found.bounds(weights).collect()}
     place = {r.id: (r.domain, r.block) for r in found.passages().collect()}
     assert all(bounds[r.task_id, *place[r.id]] >= r.score - 1e-6 for r in found.scores(asked).collect() if place[r.id][0] is not None)
 
