@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarryline.functions.text import CONTENT_STOPWORDS, tokens
+from quarryline.functions.text import CONTENT_STOPWORDS, content_terms
 from quarryline.operators import evidence as V
 from quarryline.operators import index, intents, models
 from quarryline.plans.base import BM25, TOKENS, query, values
@@ -103,7 +103,7 @@ def _bag_sql(text: str) -> str:
     return f"list_transform({kept}, lambda t: CASE WHEN length(t) > 4 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN t[:-2] ELSE t END)"
 
 
-@query(f"""WITH RECURSIVE {PARTS_SQL},
+MATCHED = f"""{PARTS_SQL},
 cases AS (SELECT k, ps, list_transform(range(1, len(ps) + 1), lambda i: CASE WHEN i = 1 THEN ps[len(ps)] ELSE ps[i - 1] || ' ' || k END) AS expected FROM parts),
 ex AS (SELECT k, i, {_bag_sql("expected[i]")} AS e FROM cases, unnest(range(1, len(expected) + 1)) AS u(i)),
 pr AS (SELECT k, j, {_bag_sql("ps[j]")} AS p FROM cases, unnest(range(1, len(ps) + 1)) AS u(j)),
@@ -113,16 +113,35 @@ ways AS (SELECT k, 0 AS i, 0 AS n, [0]::BIGINT[] AS used FROM cases
   UNION ALL SELECT ways.k, ways.i + 1, CASE WHEN pair.j IS NULL THEN n ELSE n + 1 END, CASE WHEN pair.j IS NULL THEN used ELSE list_append(used, pair.j) END
   FROM ways JOIN cases ON cases.k = ways.k AND ways.i < len(expected)
   LEFT JOIN (SELECT k, i, j FROM pair UNION ALL SELECT k, unnest(range(1, len(ps) + 1)), NULL FROM cases) AS pair ON pair.k = ways.k AND pair.i = ways.i + 1
-  WHERE pair.j IS NULL OR NOT list_contains(used, pair.j))
-SELECT k, any_value(len(expected)) AS n_expected, any_value(len(ps)) AS n_predicted, max(n)::BIGINT AS n_matched, any_value(len(ps) > len(expected)) AS over_split
-FROM ways JOIN cases USING (k) GROUP BY k""")
-def intent_matching(spark, sf):
+  WHERE pair.j IS NULL OR NOT list_contains(used, pair.j)),
+matched AS (SELECT k, any_value(len(expected)) AS n_expected, any_value(len(ps)) AS n_predicted, max(n)::BIGINT AS n_matched, any_value(len(ps) > len(expected)) AS over_split
+FROM ways JOIN cases USING (k) GROUP BY k)"""
+
+
+def _matched(spark, sf):
     """Parts against the same in another order, all but one with a word more."""
     cases = intents.with_parts(_requests(spark, sf), "q")
     expected = F.transform("parts", lambda p, i: F.when(i == 0, F.element_at("parts", -1)).otherwise(F.concat(F.get("parts", i - 1), F.lit(" "), F.col("k"))))
     return intents.with_matching(cases.withColumn("expected", expected), "expected", "parts").select("k", "n_expected", "n_predicted", "n_matched", "over_split")
 
 
+@query(f"WITH RECURSIVE {MATCHED} SELECT k, n_expected, n_predicted, n_matched, over_split FROM matched")
+def intent_matching(spark, sf):
+    return _matched(spark, sf)
+
+
+@query(f"""WITH RECURSIVE {MATCHED}, mc AS (SELECT *, n_expected > 1 AS compound, n_matched = n_expected AND n_predicted = n_expected AS ok FROM matched)
+SELECT count(*) AS cases, count(*) FILTER (compound) AS compound, count(*) FILTER (n_expected = 1) AS single,
+coalesce(round(count(*) FILTER (compound AND ok) / nullif(count(*) FILTER (compound), 0), 4), 0) AS compound_success_rate,
+coalesce(round(sum(n_matched) FILTER (compound) / nullif(sum(n_expected) FILTER (compound), 0), 4), 0) AS compound_recall,
+coalesce(round(sum(n_matched) FILTER (compound) / nullif(sum(n_predicted) FILTER (compound), 0), 4), 0) AS compound_precision,
+coalesce(round(count(*) FILTER (compound AND n_predicted > 1) / nullif(count(*) FILTER (compound), 0), 4), 0) AS compound_detection_rate,
+coalesce(round(count(*) FILTER (n_expected = 1 AND n_predicted > 1) / nullif(count(*) FILTER (n_expected = 1), 0), 4), 0) AS single_over_split_rate,
+coalesce(round(count(*) FILTER (n_expected = 1 AND n_predicted <= 1) / nullif(count(*) FILTER (n_expected = 1), 0), 4), 0) AS single_correct_rate FROM mc""")
+def decomposition_totals(spark, sf):
+    return intents.matching_report(_matched(spark, sf))
+
+
 def _terms_sql(text: str) -> str:
     stops = ", ".join(f"'{w}'" for w in CONTENT_STOPWORDS)
     return f"list_distinct(list_filter(list_transform(regexp_extract_all({text}, '[A-Za-z0-9_]+'), lambda t: lower(t)), lambda t: length(t) > 2 AND t NOT IN ({stops})))"
@@ -206,11 +225,20 @@ def stateful_controller(spark, sf):
     return drained(spark, made, stateful.controller, "controller")
 
 
-@query("""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS version, trim(text) AS d FROM conversations WHERE role = 'assistant' AND trim(coalesce(text, '')) <> '')
-SELECT session_id, version, version - 1 AS previous_version, string_agg(d, chr(10) || chr(10)) OVER (PARTITION BY session_id ORDER BY version) AS answer FROM t""")
+@query(f"""WITH u AS (SELECT conv_id, turn + 1 AS turn, {_terms_sql("coalesce(text, '')")} AS ts FROM conversations WHERE role = 'user'),
+v AS (SELECT conv_id, turn, len(list_intersect(ts, lag(ts, 1, []) OVER (PARTITION BY conv_id ORDER BY turn))) >= 3 AS again FROM u),
+t AS (SELECT CAST(c.conv_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) AS version, trim(text) AS d, coalesce(again, false) AS again
+  FROM conversations c LEFT JOIN v ON v.conv_id = c.conv_id AND v.turn = c.turn WHERE role = 'assistant' AND trim(coalesce(text, '')) <> ''),
+g AS (SELECT *, sum(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY version) AS part FROM t)
+SELECT session_id, version, version - 1 AS previous_version, string_agg(d, chr(10) || chr(10)) OVER (PARTITION BY session_id, part ORDER BY version) AS answer FROM g""")
 def session_versions(spark, sf):
-    turns = table(spark, sf, "conversations").where("role = 'assistant'")
-    made = turns.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), F.col("text").alias("delta"), F.lit(False).alias("replaces"))
+    """A reply replaces the answer where its question shares three content terms with the one before, and is appended elsewhere."""
+    talk = table(spark, sf, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    asked = talk.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), content_terms(F.coalesce("text", F.lit(""))).alias("ts"))
+    again = asked.select("conv_id", "turn", (F.size(F.array_intersect("ts", F.coalesce(F.lag("ts").over(w), F.array().cast("array<string>")))) >= 3).alias("again"))
+    turns = talk.where("role = 'assistant'").join(again, ["conv_id", "turn"], "left")
+    made = turns.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), F.col("text").alias("delta"), F.coalesce("again", F.lit(False)).alias("replaces"))
     return drained(spark, made, stateful.session_answers, "session")
 
 
@@ -220,5 +248,3 @@ def event_windows(spark, sf):
     n = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return n.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
-
-__all__ = ["tokens"]

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarryline.plans.base import query
+from quarryline.functions import predicates as P
+from quarryline.operators import models
+from quarryline.plans.base import TOKENS, query
 from quarryline.plans.measures import SENTS, TERMS
 from quarryline.plans.plugins import drained
-from quarryline.plans.transcripts import DECIDED, PRESENTATION
+from quarryline.plans.transcripts import CHUNKS, DECIDED, PRESENTATION, SPLIT
 from quarryline.sources.tables import chunks, table
-from quarryline.streaming import runs
+from quarryline.streaming import production, runs
 
 IDLE = 30_001
 LATE = 60_000
@@ -60,3 +62,44 @@ def said(spark, sf):
 def utterance_runs(spark, sf):
     with runs.rocks(spark):
         return drained(spark, said(spark, sf), lambda s: runs.runs(s, IDLE, f"{LATE} milliseconds"), "runs")
+
+
+#: Hypotheses with a hashed bag of their tokens in 64 dimensions, and the cosine of each with the one before.
+EMBEDDED = f"""{CHUNKS},
+hy AS (SELECT split_part(stream_id, '-', 1) AS session_id, CAST(split_part(stream_id, '-', 2) AS BIGINT) AS utterance, idx, text, is_final, confidence,
+  CASE WHEN is_final THEN 'final' WHEN trim(text) = '' THEN 'empty' WHEN length(trim(text)) < 24 OR len({SPLIT.format('trim(text)')}) < 5 OR confidence < 0.5 THEN 'problem'
+    WHEN regexp_matches(trim(lower(text)), '^(?:{P.COMMANDS.replace(chr(39), chr(39) * 2)})') THEN 'presentation' ELSE 'semantic' END AS kind FROM ch),
+tk AS (SELECT session_id, utterance, idx, unnest({TOKENS.format('text')}) AS t FROM hy WHERE kind = 'semantic'),
+bk AS (SELECT session_id, utterance, idx, CAST('0x' || substr(md5(t), 1, 6) AS BIGINT) % 64 AS b, sum(CASE WHEN CAST('0x' || substr(md5(t), 7, 1) AS INT) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS x FROM tk GROUP BY ALL),
+nn AS (SELECT session_id, utterance, idx, sqrt(sum(x * x)) AS r FROM bk GROUP BY ALL),
+pv AS (SELECT session_id, utterance, idx, lag(idx) OVER (PARTITION BY session_id, utterance ORDER BY idx) AS p, row_number() OVER (PARTITION BY session_id, utterance ORDER BY idx) AS n FROM hy WHERE kind = 'semantic'),
+dt AS (SELECT pv.session_id, pv.utterance, pv.idx, sum(a.x * b.x) AS d FROM pv JOIN bk a ON a.session_id = pv.session_id AND a.utterance = pv.utterance AND a.idx = pv.idx
+  JOIN bk b ON b.session_id = pv.session_id AND b.utterance = pv.utterance AND b.idx = pv.p AND b.b = a.b GROUP BY ALL),
+si AS (SELECT pv.*, CASE WHEN p IS NOT NULL THEN round(greatest(-1, least(1, coalesce(d / nullif(u.r * v.r, 0), 0))), 9) END AS sim FROM pv LEFT JOIN dt USING (session_id, utterance, idx)
+  LEFT JOIN nn u ON u.session_id = pv.session_id AND u.utterance = pv.utterance AND u.idx = pv.idx LEFT JOIN nn v ON v.session_id = pv.session_id AND v.utterance = pv.utterance AND v.idx = pv.p),
+sv AS (SELECT *, least(floor((sim + 1) / 2 * 64), 63) AS bin, lag(sim) OVER (PARTITION BY session_id, utterance ORDER BY idx) AS sim1 FROM si),
+th AS (SELECT *, count(sim) OVER w AS seen, avg(sim) OVER w AS mean, stddev_pop(sim) OVER w AS sd, list_sort(list(bin) FILTER (bin IS NOT NULL) OVER w) AS bins FROM sv
+  WINDOW w AS (PARTITION BY session_id ORDER BY utterance, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+tr AS (SELECT *, CASE WHEN seen >= 8 THEN round(least(0.85, mean - sd), 9) ELSE 0.85 END AS stable_at, CASE WHEN seen >= 8 THEN round(least(0.65, bins[CAST(ceil(seen * 0.05) AS INT)] * 2 / 64 - 1), 9) ELSE 0.65 END AS drift_at FROM th),
+de AS (SELECT *, coalesce(sim1 IS NOT NULL AND sim < drift_at, false) AS drifts,
+  coalesce(sim1 >= stable_at AND sim >= stable_at AND sim >= drift_at AND round(greatest(0, least(1, (sim1 * exp(-0.3) + sim) / (exp(-0.3) + 1) * (0.7 + 0.3 * 0.8))), 9) >= stable_at, false) AS settled FROM tr),
+fi AS (SELECT *, coalesce(bool_or(settled) OVER (PARTITION BY session_id, utterance ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS fired FROM de)"""
+
+
+def embedded(spark, sf):
+    """Hypotheses of the users' turns, a conversation being a session, with their embeddings."""
+    rows = chunks(spark, sf)
+    names = F.split("stream_id", "-")
+    keyed = rows.withColumn("key", F.concat_ws("#", "stream_id", "idx"))
+    held = models.native_hash_embedding(keyed, "key", "text").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("weight").cast("double")))).alias("held"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("held", i.cast("long")), F.lit(0.0)))
+    return keyed.join(held, "key", "left").select(names[0].alias("session_id"), names[1].cast("long").alias("utterance"), "idx", "text", "is_final", "confidence", vector.alias("embedding"))
+
+
+@query(f"""WITH {EMBEDDED} SELECT hy.session_id, hy.utterance, hy.idx,
+CASE WHEN kind = 'final' THEN 'Retrieve' WHEN kind IN ('empty', 'presentation') THEN 'No-Retrieval' WHEN kind = 'problem' THEN 'Wait' WHEN (settled AND NOT fired) OR (drifts AND fired) THEN 'Retrieve' ELSE 'Wait' END AS decision,
+CASE WHEN kind <> 'semantic' THEN kind WHEN settled AND NOT fired THEN 'stable' WHEN drifts AND fired THEN 'intent drift' WHEN n < 3 THEN 'building window' ELSE 'not stable' END AS reason, stable_at, drift_at
+FROM hy LEFT JOIN fi ON fi.session_id = hy.session_id AND fi.utterance = hy.utterance AND fi.idx = hy.idx""")
+def production_controller(spark, sf):
+    with runs.rocks(spark):
+        return drained(spark, embedded(spark, sf), production.streamed, "production")
