@@ -39,6 +39,12 @@ def values(rows: list[tuple], columns: list[str]) -> str:
     return f"(VALUES {body}) AS t({', '.join(columns)})"
 
 
+def spoken(rows: list[tuple], key: str, text: str = "text", every: int = 64) -> str:
+    """An expression that both engines read: a table's own texts, but one of the example ``rows`` (n, text) where ``key`` modulo ``every`` is n."""
+    some = " ".join(f"WHEN {n} THEN '{t}'" for n, t in rows)
+    return f"CASE ({key}) % {every} {some} ELSE coalesce({text}, '') END"
+
+
 #: Tokens of a text in DuckDB.
 TOKENS = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9_]+'), lambda x: lower(x))"
 #: Postings, lengths and corpus statistics of the documents.

@@ -9,7 +9,7 @@ from quarryline.functions import predicates as P
 from quarryline.functions import text as T
 from quarryline.operators import evidence as V
 from quarryline.operators import scoring
-from quarryline.plans.base import BM25, query, values
+from quarryline.plans.base import BM25, query, spoken, values
 from quarryline.plans.cleaning import QRELS, qrels
 from quarryline.plans.measures import CASES, cases
 from quarryline.plans.search import sparse_hits
@@ -23,13 +23,13 @@ SENTENCES = [
 ]
 
 
-@query(f"""SELECT k, len(list_filter(regexp_split_to_array(s, '\\s+'), lambda x: x <> '')) >= 4 AND NOT regexp_matches(s, '[?:]\\s*$')
+@query(f"""SELECT conv_id, turn, len(list_filter(regexp_split_to_array(s, '\\s+'), lambda x: x <> '')) >= 4 AND NOT regexp_matches(s, '[?:]\\s*$')
 AND len(list_filter(['contact us', 'site map', 'skip to content', 'skip to main content', 'advanced search'], lambda m: contains(lower(s), m))) < 2
 AND NOT regexp_matches(s, '(?i)\\b(?:for more information|for .+ record),?\\s*see\\s*:?$') AS span,
-regexp_matches(s, '{P.ABSTAIN.replace(chr(39), chr(39) * 2)}') AS abstains, contains(lower(s), '3 may 2020') AS dated FROM {values(SENTENCES, ['k', 's'])}""")
+regexp_matches(s, '{P.ABSTAIN.replace(chr(39), chr(39) * 2)}') AS abstains, contains(lower(s), '3 may 2020') AS dated FROM (SELECT conv_id, turn, {spoken(SENTENCES, 'conv_id + turn')} AS s FROM conversations)""")
 def answer_spans(spark, sf):
-    rows = spark.createDataFrame(SENTENCES, "k int, s string")
-    return rows.select("k", P.answer_span(F.col("s")).alias("span"), P.abstains(F.col("s")).alias("abstains"), P.dates_kept(F.lit("what opened on 3 May 2020?"), F.col("s")).alias("dated"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.expr(spoken(SENTENCES, "conv_id + turn")).alias("s"))
+    return rows.select("conv_id", "turn", P.answer_span(F.col("s")).alias("span"), P.abstains(F.col("s")).alias("abstains"), P.dates_kept(F.lit("what opened on 3 May 2020?"), F.col("s")).alias("dated"))
 
 
 @query("""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS heard FROM conversations WHERE role = 'user'""")
@@ -37,9 +37,9 @@ def normalized_hypotheses(spark, sf):
     return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", T.normalize_asr(F.col("text")).alias("heard"))
 
 
-@query("""SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\\[-`{-~]', '', 'g'), '\\b(?:a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS answer FROM benchmark WHERE regexp_full_match(text, '[\\x00-\\x7F]*')""")
+@query("""SELECT item_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[!-/:-@\\[-`{-~]', '', 'g'), '\\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ') AS answer FROM benchmark""")
 def normalized_answers(spark, sf):
-    return table(spark, sf, "benchmark").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("item_id", T.normalize_answer(F.col("text")).alias("answer"))
+    return table(spark, sf, "benchmark").select("item_id", T.normalize_answer(F.col("text")).alias("answer"))
 
 
 @query("SELECT page_id, length(x) AS n, sha1(x) AS digest FROM (SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&') AS x FROM pages)")
@@ -47,13 +47,18 @@ def html_without_tags(spark, sf):
     return table(spark, sf, "pages").withColumn("x", T.clean_html(F.col("html"))).select("page_id", F.length("x").cast("long").alias("n"), F.sha1("x").alias("digest"))
 
 
-FOLLOW = [(1, "only the NASA fee instead", "The fee is ten."), (2, "what about dogs", "Dogs may enter."), (3, "Actually HTTP2 limits", "No limits here")]
+STOPPED = "['" + "', '".join(T.CONTENT_STOPWORDS) + "']"
+TOKENIZED = "regexp_extract_all({0}, '[A-Za-z0-9_]+')"
 
 
-@query("SELECT * FROM (VALUES (1, 'NASA'), (2, ''), (3, 'HTTP2')) AS t(k, terms)")
+@query(f"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS q, lag(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM conversations)
+SELECT conv_id, turn, array_to_string(list_filter({TOKENIZED.format('q')}, lambda x: length(x) > 2 AND NOT list_contains({STOPPED}, lower(x)) AND NOT list_contains(list_concat(list_transform({TOKENIZED.format('a')}, lambda y: lower(y)),
+['only', 'instead', 'actually', 'rather', 'except']), lower(x))), ' ') AS terms FROM t WHERE role = 'user' AND a IS NOT NULL""")
 def refinement_focus(spark, sf):
-    rows = spark.createDataFrame(FOLLOW, "k int, q string, a string")
-    return rows.select("k", F.array_join(V.novel_terms(F.col("q"), F.col("a")), " ").alias("terms"))
+    """What is new in a user's turn against the turn before."""
+    talk = table(spark, sf, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    turns = talk.withColumn("a", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("role = 'user' AND a IS NOT NULL")
+    return turns.select("conv_id", "turn", F.array_join(V.novel_terms(F.col("text"), F.col("a")), " ").alias("terms"))
 
 
 REPLIES = [(1, 'Sure: ```json\n{"a": 1}\n```'), (2, "x {bad} then [1, 2] y"), (3, "none"), (4, '{"p": "50\\%"}'), (5, None)]
@@ -103,10 +108,10 @@ CLASSES = ("answerable", "partial", "unanswerable", "underspecified")
 
 
 @query(f"""WITH {CASES}, k(case_class) AS (VALUES {', '.join(f"('{c}')" for c in CLASSES)}),
-a AS (SELECT case_class, count(*) AS n, round(avg(CASE WHEN review = 'approved' THEN 1.0 ELSE 0 END), 4) AS approved FROM cs WHERE domain = 'es' GROUP BY case_class)
+a AS (SELECT case_class, count(*) AS n, round(avg(CASE WHEN review = 'approved' THEN 1.0 ELSE 0 END), 4) AS approved FROM cs GROUP BY case_class)
 SELECT case_class, coalesce(n, 0) AS n, coalesce(approved, 0) AS approved FROM k LEFT JOIN a USING (case_class)""")
 def per_class_report(spark, sf):
-    a = cases(spark, sf).where("domain = 'es'").groupBy("case_class").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("review") == "approved").cast("double")), 4).alias("approved"))
+    a = cases(spark, sf).groupBy("case_class").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("review") == "approved").cast("double")), 4).alias("approved"))
     k = spark.createDataFrame([(c,) for c in CLASSES], "case_class string")
     return k.join(a, "case_class", "left").select("case_class", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("approved", F.lit(0.0)).alias("approved"))
 

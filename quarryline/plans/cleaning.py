@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import text as T
 from quarryline.operators import cleaning as C
-from quarryline.plans.base import query, values
+from quarryline.plans.base import query, spoken, values
 from quarryline.sources.tables import page_passages, passages, table
 
 STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
@@ -109,9 +109,9 @@ def page_links(spark, sf):
 URLS = [(1, "https://WebArchive.library.unt.edu/eot2008/query?year=1"), (2, "https://example.org/eot2008/query"), (3, ""), (4, "http://webarchive.library.unt.edu/eot/query")]
 
 
-@query(f"SELECT k, regexp_matches(u, '(?i)webarchive\\.library\\.unt\\.edu/eot\\d+/query') AS crawl FROM {values(URLS, ['k', 'u'])}")
+@query(f"SELECT k, regexp_matches(u, '(?i)webarchive\\.library\\.unt\\.edu/eot\\d+/query') AS crawl FROM (SELECT page_id AS k, {spoken(URLS, 'page_id', 'url', 16)} AS u FROM pages)")
 def crawl_pagination(spark, sf):
-    return spark.createDataFrame(URLS, "k int, u string").select("k", C.is_pagination(F.col("u")).alias("crawl"))
+    return table(spark, sf, "pages").select(F.col("page_id").alias("k"), C.is_pagination(F.expr(spoken(URLS, "page_id", "url", 16))).alias("crawl"))
 
 
 @query(f"""WITH {STRIPPED}, a AS (SELECT id, host, text, did, CASE WHEN did THEN c ELSE text END AS b FROM st),

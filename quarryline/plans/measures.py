@@ -11,7 +11,7 @@ from quarryline.functions import text as T
 from quarryline.operators import curation as C
 from quarryline.operators import evaluation as E
 from quarryline.operators import evidence as V
-from quarryline.plans.base import BM25, TASKS, TOKENS, query, values
+from quarryline.plans.base import BM25, TASKS, TOKENS, query, spoken, values
 from quarryline.plans.cleaning import QRELS, qrels
 from quarryline.plans.search import STOPS, sparse_hits
 from quarryline.sources.tables import passages, table, tasks
@@ -155,18 +155,18 @@ JUDGED = [(1, "Rating: [[7]]"), (2, "I say Score: 8.6/10 overall"), (3, "[Rating
 RATED = "CASE " + " ".join(f"WHEN regexp_matches(t, '(?i){p}') THEN try_cast(regexp_extract(t, '(?i){p}', 1) AS DOUBLE) / 10" for p in reversed(T.RATING_FORMS)) + " ELSE 0.5 END"
 
 
-@query(f"SELECT k, CASE WHEN r <= 0 OR r > 1 THEN 0.5 ELSE r END AS rating FROM (SELECT k, {RATED} AS r FROM (SELECT k, regexp_replace(s, '(?im)for example:.*?$', '', 'g') AS t FROM {values(JUDGED, ['k', 's'])}))")
+@query(f"SELECT k, CASE WHEN r <= 0 OR r > 1 THEN 0.5 ELSE r END AS rating FROM (SELECT k, {RATED} AS r FROM (SELECT k, regexp_replace(s, '(?im)for example:.*?$', '', 'g') AS t FROM (SELECT doc_id AS k, {spoken(JUDGED, 'doc_id', every=16)} AS s FROM documents)))")
 def judge_ratings(spark, sf):
-    return spark.createDataFrame(JUDGED, "k int, s string").select("k", T.rating(F.col("s")).alias("rating"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("k"), T.rating(F.expr(spoken(JUDGED, "doc_id", every=16))).alias("rating"))
 
 
 REPLIES = [(1, "Yes, it is"), (2, " no"), (3, "partial"), (4, "42"), (5, "YES!"), (6, "")]
 
 
-@query(f"""SELECT k, CASE w WHEN '' THEN -1.0 WHEN 'yes' THEN 1.0 WHEN 'no' THEN 0.0 ELSE 0.5 END AS verdict FROM
-(SELECT k, lower(regexp_extract(s, '^\\s*([A-Za-z]+)', 1)) AS w FROM {values(REPLIES, ['k', 's'])})""")
+@query(f"""SELECT conv_id, turn, CASE w WHEN '' THEN -1.0 WHEN 'yes' THEN 1.0 WHEN 'no' THEN 0.0 ELSE 0.5 END AS verdict FROM
+(SELECT conv_id, turn, lower(regexp_extract(s, '^\\s*([A-Za-z]+)', 1)) AS w FROM (SELECT conv_id, turn, {spoken(REPLIES, 'conv_id + turn', every=16)} AS s FROM conversations))""")
 def first_token_verdicts(spark, sf):
-    return spark.createDataFrame(REPLIES, "k int, s string").select("k", T.first_token_verdict(F.col("s")).alias("verdict"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.first_token_verdict(F.expr(spoken(REPLIES, "conv_id + turn", every=16))).alias("verdict"))
 
 
 IDK = [(1, "UNANSWERABLE", 1.0, 0.4), (2, "CONVERSATIONAL", 0.5, 0.4), (3, "ANSWERABLE", 1.0, 0.4), (4, "PARTIAL", 0.0, 0.7), (5, "UNANSWERABLE", 0.0, 0.2)]

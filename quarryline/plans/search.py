@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.text import content_terms, expand_query
 from quarryline.operators import index, models
-from quarryline.plans.base import BM25, INDEX, TASKS, TOKENS, query
+from quarryline.plans.base import BM25, INDEX, TOKENS, query
 from quarryline.sources.indexes import page_index, passage_index, passage_vectors, vector_index
 from quarryline.sources.tables import table, tasks
 
@@ -190,10 +190,9 @@ def candidate_pool(spark, sf):
     return index.candidate_pool(index.nested_rrf(p, "request", "part"), p.where("rank <= 5"), "request")
 
 
-@query("SELECT * FROM (VALUES (1, 'flights to sao paulo br sao today'), (2, 'north america'), (3, 'sao paulo br sao and south america')) AS t(k, expanded)")
-def expanded_queries(spark, sf):
-    rows = spark.createDataFrame([(1, "Flights to South America, today"), (2, "north America"), (3, "South   america and south america")], "k int, q string")
-    return rows.select("k", expand_query(F.col("q")).alias("expanded"))
+ASKING = "CASE item_id % 4 WHEN 0 THEN 'Flights to South America, and south america: ' WHEN 1 THEN 'North america ' ELSE '' END || coalesce(text, '')"
 
 
-__all__ = ["TASKS"]
+@query(f"SELECT item_id, regexp_replace(array_to_string({TOKENS.format('q')}, ' '), '\\bsouth america\\b', 'sao paulo br sao') AS expanded FROM (SELECT item_id, {ASKING} AS q FROM benchmark)")
+def expanded_queries(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", expand_query(F.expr(ASKING)).alias("expanded"))

@@ -10,8 +10,9 @@ from quarryline.plans.base import TOKENS, query
 from quarryline.plans.measures import SENTS, TERMS
 from quarryline.plans.plugins import drained
 from quarryline.plans.transcripts import CHUNKS, DECIDED, PRESENTATION, SPLIT
+from quarryline.session import shared_folder
 from quarryline.sources.tables import chunks, table
-from quarryline.streaming import production, runs
+from quarryline.streaming import journal, production, runs
 
 IDLE = 30_001
 LATE = 60_000
@@ -103,3 +104,13 @@ FROM hy LEFT JOIN fi ON fi.session_id = hy.session_id AND fi.utterance = hy.utte
 def production_controller(spark, sf):
     with runs.rocks(spark):
         return drained(spark, embedded(spark, sf), production.streamed, "production")
+
+
+@query("SELECT row_number() OVER (ORDER BY event_id) AS event_id, event_id AS source_id, user_id, event_type FROM events WHERE event_type IN ('error', 'purchase')")
+def published_events(spark, sf):
+    """Errors and purchases in a journal, read again from its beginning."""
+    source, path, mark = (shared_folder(spark, f"journal-{x}") for x in ("in", "out", "mark"))
+    found = table(spark, sf, "events").where("event_type IN ('error', 'purchase')").select(F.col("event_id").alias("source_id"), "user_id", "event_type")
+    found.write.parquet(source)
+    journal.publish(spark.readStream.schema(found.schema).parquet(source), path, mark, ["source_id"]).start().awaitTermination()
+    return journal.events(spark, path).select("event_id", "source_id", "user_id", "event_type")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarryline.functions import predicates as P
 from quarryline.functions import text as T
 from quarryline.functions.numeric import cosine, recency_mean
-from quarryline.plans.base import query, values
+from quarryline.plans.base import query, spoken
 from quarryline.sources.tables import chunks, table
 from quarryline.streaming import transcripts as S
 
@@ -209,12 +209,13 @@ def exp_weighted_confidence(spark, sf):
     return rows.groupBy("user_id").agg(F.round(F.sum(F.col("w") * F.col("value")) / F.sum("w"), 6).alias("mean"))
 
 
-CONFIDENCES = [(1, [0.2, 0.9]), (2, [0.5]), (3, [0.1, 0.1, 0.7, 0.8])]
-
-
-@query(f"""SELECT k, round(list_sum(list_transform(c, lambda x, i: x * exp(-0.3 * (len(c) - i)))) / list_sum(list_transform(c, lambda x, i: exp(-0.3 * (len(c) - i)))), 6) AS mean FROM {values(CONFIDENCES, ['k', 'c'])}""")
+@query("""WITH t AS (SELECT conv_id, list(length(coalesce(text, ''))::DOUBLE ORDER BY turn) AS c FROM conversations GROUP BY conv_id)
+SELECT conv_id, round(list_sum(list_transform(c, lambda x, i: x * exp(-0.3 * (len(c) - i)))) / list_sum(list_transform(c, lambda x, i: exp(-0.3 * (len(c) - i)))), 6) AS mean FROM t""")
 def recency_means(spark, sf):
-    return spark.createDataFrame(CONFIDENCES, "k int, c array<double>").select("k", F.round(recency_mean(F.col("c"), 0.3), 6).alias("mean"))
+    """Mean length of a conversation's turns, the latest weighing most."""
+    size = F.length(F.coalesce("text", F.lit(""))).cast("double").alias("n")
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", size))).alias("t"))
+    return turns.select("conv_id", F.round(recency_mean(F.transform("t", lambda x: x["n"]), 0.3), 6).alias("mean"))
 
 
 SAID = [
@@ -222,19 +223,25 @@ SAID = [
     (5, "Go back to the previous point."), (6, "please just repeat that"), (7, "thanks"), (8, "I need you to start over"), (9, "what is the fee"),
     (10, "could you tell me the price"), (11, ""), (12, "stop"), (13, "How do I configure the error log?"), (14, "explain billing quota"), (15, "there is a problem here"), (16, "OK"),
 ]
+SAYING = f"SELECT conv_id, turn, {spoken(SAID, 'conv_id + turn')} AS s FROM conversations"
+
+
+def _saying(spark, sf):
+    """The turns' texts, a few of them made requests about delivery and the like."""
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.expr(spoken(SAID, "conv_id + turn")).alias("s"))
 
 
-@query(f"SELECT k, coalesce({PRESENTATION.format('s')}, false) AS presentation, regexp_matches(trim(lower(s)), '^(?:{P.COMMANDS.replace(chr(39), chr(39) * 2)})') AS command FROM {values(SAID, ['k', 's'])}")
+@query(f"SELECT conv_id, turn, coalesce({PRESENTATION.format('s')}, false) AS presentation, regexp_matches(trim(lower(s)), '^(?:{P.COMMANDS.replace(chr(39), chr(39) * 2)})') AS command FROM ({SAYING})")
 def presentation_commands(spark, sf):
-    return spark.createDataFrame(SAID, "k int, s string").select("k", P.presentation_only(F.col("s")).alias("presentation"), P.presentation_command(F.col("s")).alias("command"))
+    return _saying(spark, sf).select("conv_id", "turn", P.presentation_only(F.col("s")).alias("presentation"), P.presentation_command(F.col("s")).alias("command"))
 
 
 TYPES = "CASE " + " ".join(f"WHEN regexp_matches(lower({{0}}), '{'|'.join(ws)}') THEN '{n}'" for n, ws in P.QUERY_TYPES) + " ELSE 'general' END"
 
 
-@query(f"SELECT k, {TYPES.format('s')} AS kind FROM {values(SAID, ['k', 's'])}")
+@query(f"SELECT conv_id, turn, {TYPES.format('s')} AS kind FROM ({SAYING})")
 def query_type(spark, sf):
-    return spark.createDataFrame(SAID, "k int, s string").select("k", P.query_type(F.col("s")).alias("kind"))
+    return _saying(spark, sf).select("conv_id", "turn", P.query_type(F.col("s")).alias("kind"))
 
 
 @query(f"""WITH {CHUNKS} SELECT stream_id, idx, CASE WHEN trim(text) = '' THEN 'empty text' WHEN length(trim(text)) < 24 THEN 'text too short (' || length(trim(text)) || ' < 24 chars)'
@@ -250,6 +257,6 @@ def passage_suitable(spark, sf):
     return table(spark, sf, "documents").select("doc_id", P.passage_suitable(F.coalesce("text", F.lit(""))).alias("suitable"))
 
 
-@query(f"SELECT k, trim(lower(regexp_replace(s, '[^A-Za-z0-9]+', '-', 'g')), '-') AS slug FROM {values(SAID, ['k', 's'])}")
+@query(f"SELECT conv_id, turn, trim(regexp_replace(lower(s), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM ({SAYING})")
 def slugs(spark, sf):
-    return spark.createDataFrame(SAID, "k int, s string").select("k", T.slug(F.col("s")).alias("slug"))
+    return _saying(spark, sf).select("conv_id", "turn", T.slug(F.col("s")).alias("slug"))

@@ -108,15 +108,6 @@ def event_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minu
     return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def publish(stream: DataFrame, path: str, checkpoint: str, order: str):
-    """A query that appends each batch as Parquet with its batch number; a reader goes on from the last (batch, ``order``) it saw."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("append").partitionBy("batch").parquet(path)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-
-
 class Semantic:
     """The controller by meaning: a stream's recent embeddings must stay close before it retrieves.
 
