@@ -31,13 +31,13 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def stage_table(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` once as Parquet, with the writer's ``options``, in the shared folder and return the table read back.
+    """Write ``df`` once as Parquet (zstd, and with the writer's ``options``), in the shared folder and return the table read back.
 
     Cuts the lineage without keeping anything on one machine: a lost executor costs only its running tasks.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/stage/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    df.write.options(**{"compression": "zstd"} | options).parquet(path)
     _TABLES.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stage_path = path
