@@ -82,6 +82,28 @@ def sample_by_hash(rows: DataFrame, key: str, group: str, seed: int, n: int) ->
     return one.orderBy("_h", key).limit(n).drop("_h", "_n")
 
 
+def bounded_top(rows: DataFrame, keys: list[str], order: list[Column], k: int, spread: int = 64) -> DataFrame:
+    """``rows`` with ``own``, their rank per ``keys`` up to ``k``; a key's rows are ranked in ``spread`` parts first, so no task holds more than ``k`` a part of it."""
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c not in keys]), F.lit(spread))
+    first = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    some = rows.withColumn("_part", part).withColumn("_first", first).where(F.col("_first") <= k)
+    return some.withColumn("own", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("own") <= k).drop("_part", "_first")
+
+
+def quota_seeds(cases: DataFrame, quotas: dict[str, int], seed: int = 20260928) -> DataFrame:
+    """(case_class, domain, document_group, case_id, pick): ``quotas`` cases of each class, one of a document group, its domains taking turns.
+
+    Cases are drawn in the order of a keyed hash. A class with fewer groups than its quota gives what it has.
+    """
+    drawn = F.sha2(F.concat(F.lit(f"{seed}|"), F.col("case_id").cast("string")), 256)
+    wanted = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
+    rows = cases.where(F.col("case_class").isin(*quotas)).select("case_class", "document_group", F.struct(drawn.alias("h"), "case_id", "domain").alias("c"))
+    one = rows.groupBy("case_class", "document_group").agg(F.min("c").alias("c")).select("case_class", "document_group", "c.h", "c.case_id", "c.domain")
+    best = bounded_top(one, ["case_class", "domain"], [F.col("h").asc(), F.col("case_id").asc()], max(quotas.values()))
+    pick = F.row_number().over(Window.partitionBy("case_class").orderBy("own", "domain"))
+    return best.withColumn("pick", pick.cast("long")).where(F.col("pick") <= F.try_element_at(wanted, F.col("case_class"))).select("case_class", "domain", "document_group", "case_id", "pick")
+
+
 def leaking_groups(cases: DataFrame) -> DataFrame:
     """(document_group, splits): groups of documents that more than one split uses."""
     g = cases.groupBy("document_group").agg(F.sort_array(F.collect_set("split")).alias("s"))

@@ -303,6 +303,18 @@ def round_robin_pick(spark, sf):
     return C.round_robin(cases(spark, sf), "case_class", "domain", "case_id", 12)
 
 
+QUOTAS = {"unanswerable": 40, "underspecified": 30}
+
+
+@query(f"""WITH {CASES}, hs AS (SELECT case_class, domain, document_group, case_id, sha256('20260928|' || case_id) AS h FROM cs WHERE case_class IN ('unanswerable', 'underspecified')),
+og AS (SELECT * FROM hs QUALIFY row_number() OVER (PARTITION BY case_class, document_group ORDER BY h, case_id) = 1),
+od AS (SELECT *, row_number() OVER (PARTITION BY case_class, domain ORDER BY h, case_id) AS own FROM og),
+op AS (SELECT *, row_number() OVER (PARTITION BY case_class ORDER BY own, domain) AS pick FROM od)
+SELECT case_class, domain, document_group, case_id, pick FROM op WHERE pick <= CASE case_class WHEN 'unanswerable' THEN 40 ELSE 30 END""")
+def quota_seeds(spark, sf):
+    return C.quota_seeds(cases(spark, sf), QUOTAS)
+
+
 @query(f"WITH {CASES} SELECT document_group, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM cs GROUP BY document_group HAVING count(DISTINCT split) > 1")
 def group_leakage(spark, sf):
     return C.leaking_groups(cases(spark, sf))
