@@ -69,6 +69,23 @@ def test_sessions(spark, tmp_path, batches):
     assert len(got) == len(set(got)) and set(got) == WANTED
 
 
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo"])
+def test_time_zones(spark, tmp_path, zone):
+    """Timers go by event time, whatever time zone the session shows it in; tenths of seconds aren't cut."""
+    said = [chunk("a", 0, 0, 8.2, "how do I get there"), chunk("b", 0, 0, 38, "how do I get here"), chunk("z", 0, 0, 98.3, "later", "Later.")]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        spark.createDataFrame(said, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in")
+        with runs.rocks(spark):
+            run = runs.runs(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/mark").trigger(availableNow=True).start()
+        assert run.awaitTermination(300)
+        got = {(r.session_id, r.kind) for r in spark.read.schema(runs.EVENTS).parquet(f"{tmp_path}/out").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == {("a", "given up"), ("z", "final"), ("z", "answer")}
+
+
 def test_refining():
     old = ["Parking is free.", "Dogs are welcome."]
     assert runs.refine([], "x", ["a"]) == (["a"], 0)
