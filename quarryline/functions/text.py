@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = "[A-Za-z0-9_]+"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words that carry no topic, for evidence and for curation.
 CONTENT_STOPWORDS = (
     "a an and are as at be by can could did do does for from had has have how i if "
@@ -32,6 +33,15 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
 
 
+def small_tokens(text: Column) -> Column:
+    """:func:`tokens` without a lambda: A-Z are lowered before the text is cut."""
+    return F.regexp_extract_all(F.translate(text, UPPER, UPPER.lower()), F.lit("[a-z0-9_]+"), F.lit(0))
+
+
+def n_tokens(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(TOKEN)).cast("long")
+
+
 def curation_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 

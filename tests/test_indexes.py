@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryline.operators import index, inverted, vectors
+from quarryline.plans.queries import QUERIES
 from quarryline.sources import indexes
 
 
@@ -58,6 +59,20 @@ def test_statistics(spark, corpus, tmp_path):
     assert rows_of(found.passages(), "id", "dl") == rows_of(index.lengths(docs), "id", "dl")
 
 
+@pytest.mark.parametrize("name", ["doc_length_stats", "term_doc_freq", "tokenize_stats"])
+def test_counts_need_no_index(spark, tmp_path, monkeypatch, name):
+    """What one pass over the texts can count builds no postings."""
+    monkeypatch.setattr(inverted, "build", lambda *a, **k: pytest.fail("an index was built"))
+    rows = [(1, "en", "One one two_3, ÄB é"), (2, "en", None), (3, "de", "two"), (4, None, "")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = {
+        "doc_length_stats": {("en", 2, 4, 2.0), ("de", 1, 1, 1.0), (None, 1, 0, 0.0)},
+        "term_doc_freq": {("one", 1), ("two_3", 1), ("b", 1), ("two", 1)},
+        "tokenize_stats": {(1, 4, 3), (2, 0, 0), (3, 1, 1), (4, 0, 0)},
+    }
+    assert {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()} == wanted[name]
+
+
 def test_titles_and_links_count(spark, tmp_path):
     docs = spark.createDataFrame([("a", "h", "Zebra crossing", "plain text", ["https://zebra.example/zebra"]), ("b", "h", None, "plain text", None)], "id string, domain string, title string, text string, links array<string>")
     found = inverted.build(docs, str(tmp_path / "i"))
