@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,30 @@ def test_recall_of_near_cells(spark, tmp_path, n, recall):
     assert len(found.centroids) >= 20 and len(near & exact) >= recall * len(exact)
 
 
+def test_batches_stay_small(monkeypatch):
+    """One large batch comes out in small ones, whose rows don't go with the number of cells."""
+    rng = np.random.default_rng(5)
+    found, _ = vectors.units(list(rng.normal(size=(300, 8))))
+    x = rng.normal(size=(5000, 8))
+    x[7] = 0
+    held = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array([0] * 5000), pa.array(x.tolist()), pa.array([0.5, None] * 2500)], ["id", "domain", "embedding", "least"])
+    sizes = []
+    dot = vectors.units
+    monkeypatch.setattr(vectors, "units", lambda v: sizes.append(len(v)) or dot(v))
+    parts = list(vectors.placed(iter([held]), found))
+    assert max(sizes) * len(found) <= vectors.NUMBERS and sum(sizes) == 5000 and [i for p in parts for i in p.column(0).to_pylist()] == list(range(5000))
+    near = dot(list(x))[0] @ found.T
+    assert [c for p in parts for c in p.column(2).to_pylist()] == [vectors.NOWHERE if i == 7 else c for i, c in enumerate(near.argmax(axis=1))]
+    widths = np.full(301, 0.1)
+    opened = list(vectors.opened(iter([held]), found, widths, None))
+    assert max(p.num_rows for p in opened) <= vectors.OPENED
+    allowed = np.cos(np.maximum(np.arccos(np.clip(near, -1, 1)) - 0.1, 0)) >= 0.5 - 1e-6
+    wanted = sum((allowed[i].sum() if i % 2 == 0 else 301) if i != 7 else 301 for i in range(5000))
+    assert sum(p.num_rows for p in opened) == wanted
+    probed = list(vectors.opened(iter([held]), found, widths, 10))
+    assert max(p.num_rows for p in probed) <= vectors.OPENED and sum(p.num_rows for p in probed) == 50_000
+
+
 def test_no_vectors(spark, tmp_path):
     none = spark.createDataFrame([], "id long, embedding array<double>")
     found = vectors.build(none, str(tmp_path / "v"))
