@@ -10,6 +10,7 @@ from quarryline.operators import models, support
 from quarryline.plans.base import TASKS, query
 from quarryline.plans.measures import EVID, SENTS, TERMS
 from quarryline.plans.transcripts import SPLIT
+from quarryline.session import written
 from quarryline.sources.indexes import passage_index
 from quarryline.sources.tables import page_documents, passages, table
 
@@ -35,7 +36,7 @@ def questions(spark, sf):
 def found(spark, sf, k=5):
     """The questions' best passages, in plain lower case."""
     hits = passage_index(spark, sf).search(questions(spark, sf), k).join(passages(spark, sf).select("id", "text"), "id")
-    return hits.withColumn("text", F.regexp_replace(F.lower("text"), "[^a-z0-9 .!?\n]", " "))
+    return written(hits.withColumn("text", F.regexp_replace(F.lower("text"), "[^a-z0-9 .!?\n]", " ")), "hit-texts")
 
 
 @query(f"WITH {DIRECT} SELECT task_id, id, sentence, pick FROM direct")

@@ -39,6 +39,45 @@ def test_search_equals_scoring_everything(spark, corpus, tmp_path, k, block, dom
     assert rows_of(found.scores(asked, domain), *names[:3]) == rows_of(index.bm25(docs, asked, 1 << 30, domain=domain), *names[:3])
 
 
+@pytest.mark.parametrize("k, domain", [(1, None), (5, None), (40, None), (5, "en"), (3, "xx")])
+def test_going_over_all_passages_equals_scoring_everything(spark, corpus, tmp_path, k, domain):
+    docs, asked = corpus
+    found = inverted.build(docs, str(tmp_path / "i"), blocks=False)
+    docs = docs.fillna("", "text")
+    names = ("task_id", "id", "score", "rank")
+    assert rows_of(found.search(asked, k, domain), *names) == rows_of(index.bm25(docs, asked, k, domain=domain), *names)
+    assert rows_of(found.scores(asked, domain), *names[:3]) == rows_of(index.bm25(docs, asked, 1 << 30, domain=domain), *names[:3])
+    whole = inverted.build(docs, str(tmp_path / "w"))
+    assert rows_of(found.terms(), "term", "df", "max_tf", "total") != [] and rows_of(found.passages().drop("terms"), "id", "dl", "n_terms") == rows_of(whole.passages(), "id", "dl", "n_terms")
+    shared = index.ranked(found.overlaps(asked, k), ["task_id"], F.col("score"), k)
+    assert rows_of(shared, *names) == rows_of(index.ranked(whole.overlaps(asked), ["task_id"], F.col("score"), k), *names)
+
+
+def test_slices_and_parts_of_queries_change_nothing(spark, corpus, tmp_path, monkeypatch):
+    docs, asked = corpus[0].where("id <> 7"), corpus[1]
+    found = inverted.build(docs, str(tmp_path / "i"), blocks=False)
+    names = ("task_id", "id", "score", "rank")
+    wanted = rows_of(found.search(asked, 4), *names)
+    monkeypatch.setattr(inverted, "TERMS", 30)
+    assert rows_of(found.search(asked, 4), *names) == wanted
+    some = inverted.Asked.of(found.weights(asked).select("task_id", "term", "weight").toArrow())
+    mean = found.corpus().first().mean
+    batches = found.passages().select("id", "domain", "dl", "terms").toArrow().to_batches()
+    for pairs in (1, 700, 10**6):
+        monkeypatch.setattr(inverted, "PAIRS", pairs)
+        hits = sorted((t, i, s) for b in some.best(iter(batches), lambda tf, dl: found.config.weight(tf, dl, mean), 4) for t, i, _, s in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        assert hits == [w[:3] for w in wanted]
+
+
+def test_benchmark_items_are_searched_without_postings(spark, tmp_path):
+    """Building postings and peaks for questions of frequent words costs more than going over the passages."""
+    spark.createDataFrame([(1, "en", "one two"), (2, "en", None)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "Two")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = indexes.passage_index(spark, str(tmp_path))
+    assert [r.id for r in QUERIES["bm25_topk"](spark, str(tmp_path)).collect()] == [1]
+    assert not any(spark.catalog.tableExists(found._name(part)) for part in ("postings", "peaks"))
+
+
 def test_blocks_that_cannot_matter_stay_closed(spark, corpus, tmp_path):
     docs, asked = corpus
     found = inverted.build(docs, str(tmp_path / "i"), inverted.Bm25(block=8))
