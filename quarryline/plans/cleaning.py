@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import text as T
 from quarryline.operators import cleaning as C
+from quarryline.operators.containment import containing
 from quarryline.plans.base import query, spoken, values
+from quarryline.session import written
 from quarryline.sources.tables import page_passages, passages, table
 
 STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
@@ -126,26 +128,10 @@ QRELS = "qrel AS (SELECT b.item_id AS task_id, d.doc_id AS id FROM benchmark b J
 
 
 def qrels(spark, sf):
-    """(task_id, id): passages that hold a benchmark item word for word.
-
-    Items and passages meet under the item's first eight tokens before the exact test, so no passage is
-    tried against every item.
-    """
-    items = table(spark, sf, "benchmark").where("text IS NOT NULL").select(F.col("item_id").alias("task_id"), F.col("text").alias("item"))
-    key = lambda ts: F.xxhash64(ts)
-    n = 8
-    words = lambda c: F.filter(F.split(c, r"[ \t\n\r\x0b\x0c]+", -1), lambda w: w != "")
-    # the item's second to ninth words are whole words of any passage that holds it
-    items = items.withColumn("_w", words(F.col("item"))).withColumn("_key", F.when(F.size("_w") >= n + 2, key(F.slice("_w", 2, n))))
-    docs = passages(spark, sf).withColumn("_w", words(F.col("text")))
-    count = F.greatest(F.size("_w") - n + 1, F.lit(0))
-    starts = F.when(count > 0, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    grams = docs.select("id", F.explode(F.array_distinct(F.transform(starts, lambda i: key(F.slice("_w", i, n))))).alias("_key"))
-    met = grams.join(items.where("_key IS NOT NULL").select("task_id", "_key"), "_key").select("id", "task_id").distinct()
-    long = met.join(passages(spark, sf).select("id", "text"), "id").join(items.select("task_id", "item"), "task_id").where(F.contains("text", F.col("item"))).select("task_id", "id")
-    # items too short for a key: tried on all passages
-    short = items.where("_key IS NULL").select("task_id", "item")
-    return long.unionAll(passages(spark, sf).join(short, F.contains("text", F.col("item"))).select("task_id", "id")).distinct()
+    """(task_id, id): passages that hold a benchmark item word for word."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("task_id"), F.col("text").alias("item"))
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
+    return written(containing(docs, items), "qrels")
 
 
 @query(f"WITH {QRELS} SELECT task_id, array_to_string(list(id ORDER BY id), ',') AS ids FROM qrel GROUP BY task_id")
