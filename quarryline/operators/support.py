@@ -71,7 +71,8 @@ def selected(queries: DataFrame, spans: DataFrame) -> DataFrame:
 
 def catalogue(hits: DataFrame) -> DataFrame:
     """(task_id, id, rank, sid, sentence): the sentences of every hit's lines, numbered "rank.place" as a model is shown them."""
-    parts = F.flatten(F.transform(F.split("text", "\n", -1), lambda line: F.filter(F.transform(F.split(line, SENTENCE, -1), F.trim), lambda x: x != "")))
+    # F.trim by itself would take a sentence's place as the characters to cut off
+    parts = F.flatten(F.transform(F.split("text", "\n", -1), lambda line: F.filter(F.transform(F.split(line, SENTENCE, -1), lambda x: F.trim(x)), lambda x: x != "")))
     each = hits.select("task_id", "id", "rank", F.posexplode(parts).alias("_at", "sentence"))
     return each.select("task_id", "id", "rank", F.concat_ws(".", "rank", F.col("_at") + 1).alias("sid"), squeeze(F.col("sentence")).alias("sentence"))
 

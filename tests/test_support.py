@@ -87,6 +87,12 @@ def test_shapes_and_steps(spark):
     assert value(spark, P.shared_stems(F.array(F.lit("parking"), F.lit("fee")), F.array(F.lit("park"), F.lit("fees")))) == 1
 
 
+def test_sentences_keep_their_digits(spark):
+    """A sentence that begins or ends with the number of its place is shown whole."""
+    _, hits = ask(spark, "q", "0 is a number. 14 is one more.  2 is another 2\n \n0 ends it 0")
+    assert [(r.sid, r.sentence) for r in sorted(support.catalogue(hits).collect(), key=lambda r: r.sid)] == [("1.1", "0 is a number."), ("1.2", "14 is one more."), ("1.3", "2 is another 2"), ("1.4", "0 ends it 0")]
+
+
 def test_chosen_spans_are_verified(spark):
     queries, hits = ask(spark, "When does the garage open", "The garage opens at nine. Contact us.\nIt rains.", "The garage opens for the fair only.")
     shown = {r.sid: r.sentence for r in support.catalogue(hits).collect()}
