@@ -30,7 +30,7 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
-    return _documents(cotrain.scored(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept"))
+    return _documents(cotrain.scored(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"), again=True).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

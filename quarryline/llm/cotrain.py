@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.quality_rules import WHITE_CHARS, words_of
-from quarryline.llm.runtime import stage_table
+from quarryline.llm.runtime import discard, stage_table
 
 
 @dataclass(frozen=True)
@@ -86,10 +86,14 @@ def metadata_view(lang: Column, source: Column, n_chars: Column, buckets: int) -
 
 def with_views(docs: DataFrame, rule: CoTraining, keep: tuple[str, ...]) -> DataFrame:
     """The columns ``keep`` of ``docs`` with the arrays _content and _metadata, as a stored table."""
+    return stage_table(viewed(docs, rule, keep), "views")
+
+
+def viewed(docs: DataFrame, rule: CoTraining, keep: tuple[str, ...]) -> DataFrame:
     have = set(docs.columns)
     column = lambda name, kind: F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)
     meta = metadata_view(column("lang", "string"), column("source", "string"), column("n_chars", "long"), rule.buckets)
-    return stage_table(docs.select(*[F.col(f"`{c}`") for c in keep], F.array(*content_view(F.col("text"))).alias("_content"), F.array(*meta).alias("_metadata")), "views")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.array(*content_view(F.col("text"))).alias("_content"), F.array(*meta).alias("_metadata"))
 
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
@@ -194,12 +198,19 @@ def _shuffled(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode())
 
 
-def scored(docs: DataFrame, labels: DataFrame, rule: CoTraining = CoTraining(), keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all, if not given) with content_score, metadata_score, score and kept, by a model trained on ``labels`` and ``docs``."""
+def scored(docs: DataFrame, labels: DataFrame, rule: CoTraining = CoTraining(), keep: tuple[str, ...] | None = None, again: bool = False) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all, if not given) with content_score, metadata_score, score and kept, by a model trained on ``labels`` and ``docs``.
+
+    ``again``: the result reads ``docs`` alone and works its views out once more; no copy of the texts is stored beside them.
+    """
     keep = tuple(docs.columns) if keep is None else keep
-    table = with_views(docs, rule, keep)
+    table = with_views(docs, rule, ("doc_id",) if again else keep)
     model = train(table, labels, rule)
-    rows = table.select(*[F.col(f"`{c}`") for c in keep], "_content", "_metadata")
+    rows = table.select(*[F.col(f"`{c}`") for c in keep], "_content", "_metadata") if not again else viewed(docs, rule, keep)
+    if again:
+        discard(table)
+        # taken from a generated column, as a filter on the score would else be worked out below the views, each from the text
+        rows = rows.withColumn("_views", F.explode(F.array(F.struct("_content", "_metadata")))).withColumns({c: F.col(f"_views.{c}") for c in ("_content", "_metadata")}).drop("_views")
     if model.final is None:
         return rows.drop("_content", "_metadata").withColumns({"content_score": F.lit(1.0), "metadata_score": F.lit(1.0), "score": F.lit(1.0), "kept": F.lit(True)})
     chance = lambda x: 1 / (1 + F.exp(-x))

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.runtime import discard, stage_table
+from quarryline.llm.runtime import discard, drop_shuffles, stage_table
 
 KINDS = ("assign", "access", "hex", "random")
 #: Pattern, group whose length counts, least length.
@@ -220,7 +220,9 @@ def scan(docs: DataFrame, battery_of: Battery = Battery()) -> DataFrame:
     rows = rows.withColumn("_tokens", F.transform("_tokens", lambda t: F.struct(t["start"], t["end"], t["body"], _encoding(t["body"]).alias("code"))))
     rows = stage_table(rows.withColumn("_tokens", F.coalesce(F.filter("_tokens", lambda t: t["code"].isNotNull()), F.array().cast("array<struct<start:bigint,end:bigint,body:string,code:string>>"))), "secret-tokens")
 
+    drop_shuffles(docs.sparkSession)  # these plans are large, and the driver is to hold one at a time
     counts = background(docs, battery_of)
+    drop_shuffles(docs.sparkSession)
 
     def scored(t: Column) -> Column:
         """-10 log10 of the false-alarm bound, 0 if a test rejects randomness."""
@@ -243,6 +245,7 @@ def scan(docs: DataFrame, battery_of: Battery = Battery()) -> DataFrame:
     tokens = rows
     rows = stage_table(rows.withColumn("_tokens", F.transform("_tokens", lambda t: F.struct(t["start"], t["end"], stratum(t).alias("stratum"), scored(t).alias("level")))), "secret-scores")
     discard(tokens)
+    drop_shuffles(docs.sparkSession)
     levels = rows.select(F.explode("_tokens").alias("t")).groupBy(F.col("t.stratum").alias("stratum"), F.col("t.level").alias("level")).count()
     by = Window.partitionBy("stratum")
     steps = levels.withColumns({"above": F.sum("count").over(by.orderBy(F.desc("level"))), "m": F.sum("count").over(by)})
@@ -264,9 +267,11 @@ def spans_text(spans: str) -> Column:
 
 def redact(docs: DataFrame, battery_of: Battery = Battery(), mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span of its text replaced by ``mark``; overlapping spans become one mark."""
-    keyed = stage_table(docs.withColumn("_row", F.monotonically_increasing_id()), "secret-rows")
-    spans = scan(keyed.select(F.col("_row").alias("doc_id"), "text"), battery_of).where(F.size("found") > 0).select(F.col("doc_id").alias("_row"), F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("_spans"))
-    joined = keyed.join(spans, "_row", "left")
+    # equal texts have equal spans, so these go by two hashes of the text and no copy of the texts is stored
+    hashes = {"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")}
+    spans = scan(docs.select(F.struct(*[h.alias(name) for name, h in hashes.items()]).alias("doc_id"), "text"), battery_of).where(F.size("found") > 0)
+    spans = spans.select("doc_id.*", F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("_spans")).dropDuplicates(["_h1", "_h2"])
+    joined = docs.withColumns(hashes).join(spans, ["_h1", "_h2"], "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(s, x):

@@ -13,8 +13,9 @@ each other, if enough of their min-hashes agree (a pair at 0.8 fails that with c
 
 Defined cases: words are those of the SimHash contract; a text of at most five words is one shingle;
 null and empty texts have the empty set and are alike; very long texts are taken whole; equal sets,
-told by 64-bit hashes, are one node; of equal doc_ids the row written first stays; an empty table
-gives an empty result; further columns are kept.
+told by 64-bit hashes, are one node; of rows with equal doc_ids one stays, told by hashes of the row; an
+empty table gives an empty result; further columns are kept. Rows go by hashes of what they hold, not by
+their place, so that no copy of the texts is stored.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def keys(low: np.ndarray) -> np.ndarray:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """A row per row of ``rows`` (row, doc_id, text): hash (same), size and fingerprint of its shingle set, its keys, and a byte of each min-hash, eight to a number."""
+    """A row per row of ``rows`` (row, also, doc_id, text): hash (same), size and fingerprint of its shingle set, its keys, and a byte of each min-hash, eight to a number."""
 
     def run(batches):
         import xxhash
@@ -91,16 +92,14 @@ def sketches(rows: DataFrame) -> DataFrame:
                 lists = []
                 for width, values in ((BANDS, [keys(x) for x in lows]), (ROWS * BANDS // 8, [((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).view(np.int64) for x in lows])):
                     lists.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * width), pa.array(np.concatenate([np.zeros(0, np.int64), *values]))))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints), *lists], ["row", "doc_id", "same", "size", "fp", "keys", "bytes"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints), *lists, b.column(3)], ["row", "doc_id", "same", "size", "fp", "keys", "bytes", "also"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("row", "doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(releasing(run), f"row long, doc_id {kind}, same long, size long, fp long, keys array<long>, bytes array<long>")
+    return rows.select("row", "doc_id", F.coalesce("text", F.lit("")).alias("text"), "also").mapInArrow(releasing(run), f"row long, doc_id {kind}, same long, size long, fp long, keys array<long>, bytes array<long>, also long")
 
 
-def similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b), a stored table of row numbers, whose texts in ``rows`` (row, text) are similar; also a stored table."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    held = stage_table(rows.select("row", F.coalesce("text", F.lit("")).alias("text")).join(nodes, "row", "left_semi"), "near-texts")
+def similar(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b), a stored table of nodes, whose texts in ``held`` (row, text) are similar; also a stored table."""
     both = pairs.join(held.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
@@ -117,7 +116,7 @@ def similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(close, pa.bool_()))
 
     found = stage_table(both.select("a", "b", "text_a", "text_b").mapInArrow(releasing(run), "a long, b long"), "near-links")
-    discard(held, pairs)
+    discard(pairs)
     return found
 
 
@@ -144,7 +143,7 @@ def _fingerprint_links(sets: DataFrame) -> DataFrame:
     return stars.unionAll(across)
 
 
-def _joined(mixed: DataFrame, rows: DataFrame) -> DataFrame:
+def _joined(mixed: DataFrame, held: DataFrame) -> DataFrame:
     """Links (a, b) that join the groups of all similar pairs under each key of ``mixed`` (key, node, size, root, keys, bytes).
 
     The sets of a key are dealt into blocks; a task holds two of them, with their texts, and gives only
@@ -153,7 +152,7 @@ def _joined(mixed: DataFrame, rows: DataFrame) -> DataFrame:
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES), F.lit(1)).cast("int")
     sized = mixed.join(mixed.groupBy("key").agg(blocks.alias("blocks")), "key")
     own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
-    texts = sized.join(rows.select(F.col("row").alias("node"), F.coalesce("text", F.lit("")).alias("text")), "node")
+    texts = sized.join(held.select(F.col("row").alias("node"), "text"), "node")
     dealt = texts.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
     dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
     dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").select("key", "lo", "hi", "own", "node", "root", "size", "keys", "bytes", "text")
@@ -215,17 +214,23 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def near(sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, root) of the groups that similar ``sets`` (node, size, fp, keys, bytes) make; node is the number in ``rows`` (row, text) of a text with the set."""
+    """(node, root) of the groups that similar ``sets`` (node, size, fp, keys, bytes) make; node is the hash, in ``rows`` (row, text), of a row with the set."""
     spark = sets.sparkSession
     keyed = sets.select("node", "size", F.explode("keys").alias("key"))
     several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     shared = stage_table(keyed.join(several, "key"), "near-keys")
     drop_shuffles(spark)
-    links = similar(stage_table(_fingerprint_links(sets).distinct(), "near-pairs"), rows)
+    pairs = stage_table(_fingerprint_links(sets).distinct(), "near-pairs")
+    # the texts that any comparison can need, found among all texts once; too many to be sent to all tasks
+    nodes = shared.select(F.col("node").alias("row")).unionAll(pairs.select(F.explode(F.array("a", "b")))).distinct()
+    held = rows.select("row", F.coalesce("text", F.lit("")).alias("text")).join(nodes.hint("merge"), "row", "left_semi")
+    held = stage_table(held.groupBy("row").agg(F.first("text").alias("text")), "near-texts")
+    drop_shuffles(spark)
+    links = similar(pairs, held)
     for turn in range(2):
         found = stage_table(components(links), "near-roots")
         placed = shared.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        links = links.unionAll(similar(stage_table(_with_leads(placed, turn).distinct(), "near-pairs"), rows))
+        links = links.unionAll(similar(stage_table(_with_leads(placed, turn).distinct(), "near-pairs"), held))
         discard(found)
         drop_shuffles(spark)
     found = stage_table(components(links), "near-roots")
@@ -235,21 +240,30 @@ def near(sets: DataFrame, rows: DataFrame) -> DataFrame:
     mixed = stage_table(mixed, "near-mixed")
     discard(shared, found)
     drop_shuffles(spark)
-    return components(links.unionAll(stage_table(_joined(mixed, rows), "near-links")))
+    links = links.unionAll(stage_table(_joined(mixed, held), "near-links"))
+    discard(held, mixed)
+    drop_shuffles(spark)
+    return components(links)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that have the smallest doc_id of their group; of equal doc_ids, one row."""
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = [c for c, f in zip(every, docs.schema, strict=True) if "map<" not in f.dataType.simpleString()]
+    own = [F.xxhash64(*hashed).alias("row"), F.xxhash64(F.lit(1), *hashed).alias("also")]
     with scratch(docs.sparkSession) as keep:
-        keyed = stage_table(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-        rows = keyed.select(F.col("_row").alias("row"), "doc_id", "text")
+        rows = docs.select("doc_id", "text", *own)
         sketched = stage_table(sketches(rows), "near-sketches")
-        sets = sketched.groupBy("same").agg(F.min(F.struct("doc_id", "row")).alias("first"), *[F.first(c).alias(c) for c in ("size", "fp", "keys", "bytes")])
+        sets = sketched.groupBy("same").agg(F.min(F.struct("doc_id", "row", "also")).alias("first"), *[F.first(c).alias(c) for c in ("size", "fp", "keys", "bytes")])
         sets = stage_table(sets.select("first", F.col("first.row").alias("node"), "size", "fp", "keys", "bytes"), "near-sets")
         discard(sketched)
         found = stage_table(near(sets, rows), "near-roots")
-        heads = sets.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("head")).select(F.col("head.row").alias("_row"))
+        heads = sets.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("head")).select("head.row", "head.also")
         heads = stage_table(heads, "near-heads")
-        keep(keyed)
+        drop_shuffles(docs.sparkSession)
         keep(heads)
-    return keyed.join(heads, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # nearly all rows have one of the heads, which are too many to be sent to all tasks; rows that are equal throughout are one
+    names = [f"_c{i}" for i in range(len(every))]
+    kept = docs.select(*[c.alias(n) for c, n in zip(every, names, strict=True)], *own).join(heads.hint("merge"), ["row", "also"], "left_semi")
+    kept = kept.groupBy("row", "also").agg(F.first(F.struct(*names)).alias("r"))
+    return kept.select(*[F.col(f"r.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)])

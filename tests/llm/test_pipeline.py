@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from quarryline.llm import secrets, simhash, wordbpe
+from quarryline.llm import cotrain, runtime, secrets, simhash, wordbpe
 from quarryline.llm.runtime import stage_table
 
 
@@ -106,3 +106,29 @@ def test_results_outlive_later_calls(spark, folder):
         assert second.count() >= 0 and first.count() > 0
     one, two = corpus_pipeline.run(spark, folder), corpus_pipeline.run(spark, folder)
     assert one.count() == two.count() > 0
+
+
+def test_stages_leave_no_copy_of_the_texts(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = set(runtime._TABLES)
+        out = stage(spark, docs, folder)
+        left = [p for p in runtime._TABLES if p not in before]
+        holding = [p for p in left if "text" in spark.read.parquet(p).columns]
+        assert len(holding) == (name == "repeated_passages"), left
+        assert out.count() > 0
+
+
+def test_rows_go_by_what_they_hold(spark):
+    row = lambda i, t, lang: (i, t, lang, "s", len(t))
+    rows = [row(1, "a b c", "en"), row(1, "a b c", "en"), row(1, "a b c", "fr"), row(2, 'x password = "hunter2hunter2" y', "en"), row(3, 'x password = "hunter2hunter2" y', "fr")]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 2]
+    masked = corpus_pipeline.secret_scan(spark, docs, "").collect()
+    assert len(masked) == 10 and sum(r.text == "x [SECRET] y" for r in masked) == 4
+
+
+def test_views_worked_out_again_give_the_same_scores(spark, folder):
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet").select(*c) for t, c in (("documents", corpus_pipeline.COLUMNS), ("labels", ("doc_id", "quality"))))
+    once, again = (sorted(map(str, cotrain.scored(docs, labels, again=a).collect())) for a in (False, True))
+    assert once == again
