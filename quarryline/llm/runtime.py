@@ -9,6 +9,7 @@ import uuid
 from contextlib import contextmanager
 from functools import wraps
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,11 +61,30 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now; it does so when their plans are collected as garbage."""
+    """Let Spark delete the shuffle files of finished jobs now; it does so when their plans are collected as garbage.
+
+    What the plans took of the driver's memory goes back to the machine, its heap's part and the rest.
+    """
     gc.collect()
     jvm = getattr(spark, "_jvm", None)
     if jvm is not None:
         jvm.System.gc()
+        trim_driver(spark)
+
+
+def trim_driver(spark: SparkSession) -> str | None:
+    """Have the driver's JVM return freed memory outside its heap, and give its answer; None if it can't (Java 17.0.9 and later can)."""
+    lang, gateway = spark._jvm.java.lang, spark.sparkContext._gateway
+    types = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    kinds, given = gateway.new_array(lang.Class, len(types)), gateway.new_array(lang.Object, len(types))
+    try:
+        for i, name in enumerate(types):
+            kinds[i] = lang.Class.forName(name)
+        given[0], given[1] = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        beans = lang.management.ManagementFactory.getPlatformMBeanServer()
+        return lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(beans, given)
+    except Py4JError:  # another Java, or another C library
+        return None
 
 
 @contextmanager

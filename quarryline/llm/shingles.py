@@ -126,6 +126,17 @@ def _fits(x: str, y: str) -> Column:
     return F.least(x, y) * below >= F.greatest(x, y) * above
 
 
+def _rooted(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """``sets`` with the root of their node in ``found`` (node, root): the node itself if it isn't there."""
+    return sets.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _mixed(keyed: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` (key, node, size, root) under keys that have sets of different groups."""
+    apart = keyed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    return keyed.join(apart, "key").select("key", "node", "size", "root")
+
+
 def _with_leads(keyed: DataFrame, turn: int) -> DataFrame:
     """(a, b) of every set of ``keyed`` (key, node, size, root) with the one that leads its key this turn, if they are in different groups."""
     lead = F.min(F.struct(F.xxhash64("key", "node", F.lit(turn)).alias("h"), "node", "size", "root")).alias("lead")
@@ -216,29 +227,35 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 def near(sets: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, root) of the groups that similar ``sets`` (node, size, fp, keys, bytes) make; node is the hash, in ``rows`` (row, text), of a row with the set."""
     spark = sets.sparkSession
-    keyed = sets.select("node", "size", F.explode("keys").alias("key"))
+    keyed = sets.select("node", F.explode("keys").alias("key"))
     several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    shared = stage_table(keyed.join(several, "key"), "near-keys")
+    shared = stage_table(keyed.join(several, "key", "left_semi").select("node").distinct(), "near-nodes")
     drop_shuffles(spark)
     pairs = stage_table(_fingerprint_links(sets).distinct(), "near-pairs")
+    drop_shuffles(spark)
     # the texts that any comparison can need, found among all texts once; too many to be sent to all tasks
     nodes = shared.select(F.col("node").alias("row")).unionAll(pairs.select(F.explode(F.array("a", "b")))).distinct()
     held = rows.select("row", F.coalesce("text", F.lit("")).alias("text")).join(nodes.hint("merge"), "row", "left_semi")
     held = stage_table(held.groupBy("row").agg(F.first("text").alias("text")), "near-texts")
+    discard(shared)
     drop_shuffles(spark)
     links = similar(pairs, held)
+    found = stage_table(components(links), "near-roots")
+    # roots are looked up for sets, not for their keys, and only the keys whose sets these links leave apart go on
+    rooted = stage_table(_rooted(sets.select("node", "size", "keys"), found), "near-rooted")
+    placed = stage_table(_mixed(rooted.select(F.explode("keys").alias("key"), "node", "size", "root")), "near-keys")
+    discard(found, rooted)
+    drop_shuffles(spark)
     for turn in range(2):
-        found = stage_table(components(links), "near-roots")
-        placed = shared.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
         links = links.unionAll(similar(stage_table(_with_leads(placed, turn).distinct(), "near-pairs"), held))
-        discard(found)
         drop_shuffles(spark)
-    found = stage_table(components(links), "near-roots")
-    placed = shared.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    mixed = placed.join(mixed, "key").join(sets.select("node", "keys", "bytes"), "node").select("key", "node", "size", "root", "keys", "bytes")
+        found, before = stage_table(components(links), "near-roots"), placed
+        placed = stage_table(_rooted(before.drop("root"), found), "near-keys")
+        discard(found, before)
+        drop_shuffles(spark)
+    mixed = _mixed(placed).join(sets.select("node", "keys", "bytes"), "node").select("key", "node", "size", "root", "keys", "bytes")
     mixed = stage_table(mixed, "near-mixed")
-    discard(shared, found)
+    discard(placed)
     drop_shuffles(spark)
     links = links.unionAll(stage_table(_joined(mixed, held), "near-links"))
     discard(held, mixed)

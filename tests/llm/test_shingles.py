@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from quarryline.llm import shingles
+from quarryline.llm import runtime, shingles
 
 
 def grams(t):
@@ -68,3 +68,30 @@ def test_a_crowd_of_short_texts_that_are_alike_in_parts(spark, monkeypatch):
     crowd = [" ".join(f"x{rng.integers(1 << 30)}" if rng.random() < 0.012 else w for w in words) for _ in range(220)]
     docs = spark.createDataFrame(list(enumerate(crowd)), "doc_id long, text string")
     assert sorted(r.doc_id for r in shingles.one_of_each(docs).collect()) == sorted(set(roots([grams(t) for t in crowd])))
+
+
+def test_keys_of_one_group_only_are_not_carried_on(spark, monkeypatch):
+    """Texts that SimHash links share nearly all their keys; roots must not be looked up for each of these."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9)))
+    words = [word() for _ in range(8000)]
+    crowd = [" ".join([*words, f"x{i}"]) for i in range(12)]
+    apart = [" ".join(word() if rng.random() < 0.03 else w for w in words[:200]) for _ in range(3)]
+    rows, stored = [], shingles.stage_table
+
+    def counting(df, name, **options):
+        out = stored(df, name, **options)
+        if name == "near-keys":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(shingles, "stage_table", counting)
+    every = crowd + apart
+    docs = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in shingles.one_of_each(docs).collect()) == sorted(set(roots([grams(t) for t in every])))
+    assert max(rows) <= 24 * len(apart)
+
+
+def test_the_driver_gives_memory_back(spark):
+    answer = runtime.trim_driver(spark)
+    assert answer is None or "rim" in answer
